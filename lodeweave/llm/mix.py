@@ -12,7 +12,6 @@ from __future__ import annotations
 import itertools
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -68,7 +67,7 @@ def _count_udf(folder: str, name: str):
 
 
 def _fly(last: bool, seed: int):
-    def block(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def block(key, rows):
         rows = rows.sort_values(["id", "size"], kind="stable", na_position="first")
         p, size = rows["p"].to_numpy(float), rows["size"].to_numpy(float)
         p = flight(p, size, np.random.default_rng([seed, abs(hash_key(key))]))

@@ -9,6 +9,59 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    from .similar import neighbour_pairs, similar_vectors
+
+    pairs = neighbour_pairs(similar_vectors(table(spark, folder, "index_vectors"), k=10, min_similarity=0.85))
+    return pairs.selectExpr("a AS chunk_id_a", "b AS chunk_id_b")
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    from .split import split_oversized, uncontained_paragraphs
+
+    return uncontained_paragraphs(*split_oversized(table(spark, folder, "chunks"), limit=900, overlap=60), 900)
+
+
+def p2_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    from .split import split_oversized
+
+    return split_oversized(table(spark, folder, "chunks"), limit=900, overlap=60)[0]
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    from .leak import leaked_passages
+
+    found = leaked_passages(table(spark, folder, "chunks"), table(spark, folder, "eval_items"), "doc_id", "text", "item_id", "text", window=12)
+    return found.selectExpr("doc AS pmcid", "item AS item_id")
+
+
+def p4_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .together import together
+
+    return together(table(spark, folder, "chunk_extractions"), "chunk_id", F.col("entities.name"), least=8)
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Counts times N are compared as whole numbers, in decimals that can't overflow."""
+    often = p4_pairs(spark, folder).filter("CAST(n_ab AS DECIMAL(38,0)) * n >= CAST(10 AS DECIMAL(38,0)) * CAST(n_a AS DECIMAL(18,0)) * CAST(n_b AS DECIMAL(18,0))")
+    return often.selectExpr("a AS entity_a", "b AS entity_b")
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    from .spans import shared_spans
+
+    pairs, _, _ = shared_spans(table(spark, folder, "review_findings"), "finding_id", ["text", "quote"], least=60)
+    return pairs.selectExpr("a AS finding_a", "b AS finding_b")
+
+
+def p5_portions(spark: SparkSession, folder: str) -> DataFrame:
+    from .spans import shared_spans
+
+    return shared_spans(table(spark, folder, "review_findings"), "finding_id", ["text", "quote"], least=60)[2]
+
+
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     from .encode import encode_corpus
 
@@ -29,6 +82,6 @@ def p7_report(spark: SparkSession, folder: str) -> DataFrame:
     return report
 
 
-QUERIES = {"p6_ids": p6_ids, "p7_found": p7_found, "p7_report": p7_report}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_pieces, p3_found, p4_found, p4_pairs, p5_found, p5_portions, p6_ids, p7_found, p7_report)}
 
 ORACLES: dict[str, str] = {}
