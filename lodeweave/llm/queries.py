@@ -82,6 +82,22 @@ def p7_report(spark: SparkSession, folder: str) -> DataFrame:
     return report
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_pieces, p3_found, p4_found, p4_pairs, p5_found, p5_portions, p6_ids, p7_found, p7_report)}
+def p8_subjects(spark: SparkSession, folder: str) -> DataFrame:
+    from .subjects import subject_areas
+
+    return subject_areas(*(table(spark, folder, t) for t in ("documents", "subject_areas", "subject_labels")))
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p8_subjects(spark, folder).select("doc_id", "subject")
+
+
+def p8_composition(spark: SparkSession, folder: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    return p8_subjects(spark, folder).groupBy("subject").agg(F.count(F.lit(1)).alias("documents"), F.sum("words").alias("words"), F.sum(F.col("words") * F.col("share")).alias("subject_words"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_pieces, p3_found, p4_found, p4_pairs, p5_found, p5_portions, p6_ids, p7_found, p7_report, p8_found, p8_composition)}
 
 ORACLES: dict[str, str] = {}
