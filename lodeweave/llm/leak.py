@@ -78,7 +78,9 @@ def leaked_passages(corpus: DataFrame, items: DataFrame, doc_col: str, text_col:
     terms = broadcast_if_small(places.select("term").distinct())
     counts = text.select(F.explode("words").alias("term")).join(terms, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     ahead = Window.partitionBy("item", "v").orderBy("pos").rowsBetween(0, window - 1)
-    rarest = places.join(broadcast_if_small(materialize(counts, "counts")), "term", "left").withColumn("rarest", F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "pos")).over(ahead))
+    # a window with a term the corpus lacks can't match exactly; in a proximity match others stand for it
+    seen = F.col("df").isNotNull() if near is not None else F.lit(True)
+    rarest = places.join(broadcast_if_small(materialize(counts, "counts")), "term", "left").withColumn("rarest", F.min(F.when(seen, F.struct(F.coalesce("df", F.lit(0)).alias("df"), "pos"))).over(ahead))
     anchors = rarest.filter(F.col("pos") + window <= F.col("n")).select("item", "v", "rarest.*").filter("df > 0").select("item", "v", "pos").distinct()
     anchors = anchors.join(test, ["item", "v"]).select("item", F.get("words", "pos").alias("term"), *_around(F.col("words"), F.col("pos"), reach))
     anchors = materialize(anchors.withColumnsRenamed({"before": "item_before", "after": "item_after"}), "anchors")

@@ -66,12 +66,12 @@ def split_oversized(texts: DataFrame, id_col: str = "chunk_id", text_col: str =
     the first, begins with the last `overlap` words before fresh_word. Their fresh parts follow each other
     without gap. paragraphs: (id, para_no, start_word, end_word).
     A word is a run of characters that aren't Unicode white space; the white space between words is kept,
-    that at the ends of a piece dropped. Null and short texts give no rows; repeated rows give one result.
+    that at the ends of a piece dropped. Null ids, null and short texts give no rows; repeated rows give one result.
     Of different texts under one id the least by (length, text) is split.
     """
     if not 0 <= overlap < limit:
         raise ValueError("overlap must be from 0 to limit - 1")
-    base = texts.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("text is not null")
+    base = texts.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("id is not null and text is not null")
     cut = boundaries(base, limit).groupBy("id").agg(F.min(F.struct(F.length("text"), "text", "words", "stops")).alias("x"))
     cut = materialize(cut.select("id", F.lit(0).alias("v"), "x.words", "x.stops", F.size("x.words").alias("n")), "oversized")
     ends = F.concat(F.array(F.struct(F.lit(0).alias("pos"), F.lit(3).alias("rank"))), "stops", F.array(F.struct(F.col("n").alias("pos"), F.lit(2).alias("rank"))))
