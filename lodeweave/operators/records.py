@@ -18,7 +18,8 @@ def latest(records: DataFrame, key: str, order: str) -> DataFrame:
 
 def clamp_score(score: Column) -> Column:
     """1 to 5; null where it is no number."""
-    return F.greatest(F.least(score.try_cast("int"), F.lit(5)), F.lit(1))
+    number = score.try_cast("int")
+    return F.when(number.isNotNull(), F.greatest(F.least(number, F.lit(5)), F.lit(1)))
 
 
 def finding_hygiene(findings: DataFrame, known: DataFrame, most: int = 8) -> DataFrame:
