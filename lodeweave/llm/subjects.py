@@ -25,8 +25,10 @@ CELLS = 1 << 16
 #: Labelled documents used at most, the first by hash; the model is fitted on them, all documents are scored.
 MAX_LABELLED = 50_000
 TOKEN = re.compile(r"[^\W_]+|[.!?。](?=\s)|[\r\n]+")
-#: Pseudo-counts of the labelled, the document and the sentence rounds; weights below TAU are noise.
-PRIOR, TAU = (2.0, 20.0, 20.0), 0.8
+#: Pseudo-counts of the first count, over labelled documents, and of those over all; and the weights below which a word is noise there.
+PRIOR, TAU = (2.0, 20.0), (0.8, 0.5)
+#: Shares of sentences from which a document counts for a subject in a round over documents, and fully.
+GIVEN = (0.05, 0.12)
 #: Evidence a sentence needs in the first round and later, and how sharply it decides.
 FIRST, LATER, SHARP = 0.8, 1.1, 4.0
 #: Where a calibrated threshold may lie: a quarter of the sentences less those too plain to be told, and
@@ -112,7 +114,7 @@ def _counts(kind: str, weights: np.ndarray | None, need: float, k: int):
                 continue
             share, p, sentence, home = sentence_scores(flat, doc, docs, weights, need)
             if kind == "documents":
-                given = np.maximum(np.clip((share - 0.05) / 0.15, 0, 1), marks)
+                given = np.maximum(np.clip((share - GIVEN[0]) / (GIVEN[1] - GIVEN[0]), 0, 1), marks)
                 used = (given.max(axis=1) >= 0.5) | labelled
                 row_weight, rows = given, doc
                 word = (flat > 0) & used[doc]
@@ -137,12 +139,12 @@ def _counts(kind: str, weights: np.ndarray | None, need: float, k: int):
     return run
 
 
-def complement_weights(n: np.ndarray, by: np.ndarray, total: float, mass: np.ndarray, prior: float) -> np.ndarray:
+def complement_weights(n: np.ndarray, by: np.ndarray, total: float, mass: np.ndarray, prior: float, noise: float) -> np.ndarray:
     """log(rate of a word) - log(its rate outside the subject), with pseudo-counts at the subject's own share; noise as 0."""
     part = np.where(total > 0, mass / max(total, 1e-9), 0.0)
     rest = np.maximum(n[:, None] - by, 0)
     w = np.log((n[:, None] + prior) / max(total, 1.0)) - np.log((rest + prior * (1 - part) + 1e-9) / np.maximum(total - mass, 1.0))
-    w[(w < TAU) | (mass <= 0)[None, :]] = 0
+    w[(w < noise) | (mass <= 0)[None, :]] = 0
     return w
 
 
@@ -214,11 +216,11 @@ def subject_areas(docs: DataFrame, areas: DataFrame, labels: DataFrame, id_col:
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(marks), "id", "left")
     kind = docs.schema[id_col].dataType.simpleString()
     features = materialize(rows.select("id", "text", "marks").mapInArrow(_features(), f"id {kind}, cells array<int>, marks array<int>"), "features")
-    weights = complement_weights(*_sum(features.filter("marks is not null"), "labels", None, 0.0, k), PRIOR[0])
+    weights = complement_weights(*_sum(features.filter("marks is not null"), "labels", None, 0.0, k), PRIOR[0], TAU[0])
     need = FIRST
     for turn in range(document_rounds + sentence_rounds):
         step = "documents" if turn < document_rounds else "sentences"
-        weights = complement_weights(*_sum(features, step, weights, need, k), PRIOR[1 if step == "documents" else 2])
+        weights = complement_weights(*_sum(features, step, weights, need, k), PRIOR[1], TAU[1])
         need = FIRST if turn < document_rounds - 1 else LATER
     shares = features.select("id", "cells", "marks").mapInArrow(_shares(weights, k), f"id {kind}, share array<double>, words long, marks array<int>")
     known = shares.filter("marks is not null").select("share", "marks").toArrow()

@@ -60,7 +60,7 @@ def test_word_cells():
 def test_complement_weights_ignore_even_words():
     n, by = np.zeros(8), np.zeros((8, 2))
     n[:3], by[0], by[1], by[2] = (100, 100, 100), (50, 50), (98, 2), (0, 0)
-    w = complement_weights(n, by, 300.0, np.array([148.0, 52.0]), 5.0)
+    w = complement_weights(n, by, 300.0, np.array([148.0, 52.0]), 5.0, 0.8)
     assert w[0].max() == 0 and w[1, 0] > 1 and w[1, 1] == 0 and w[2].max() == 0
 
 
