@@ -100,4 +100,23 @@ def p8_composition(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_pieces, p3_found, p4_found, p4_pairs, p5_found, p5_portions, p6_ids, p7_found, p7_report, p8_found, p8_composition)}
 
-ORACLES: dict[str, str] = {}
+# Unicode white space as a class of the SQL engine's regular expressions.
+WS = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+
+ORACLES: dict[str, str] = {
+    "p1_found": """WITH v AS (SELECT chunk_id, min(CAST(vector AS DOUBLE[])) AS v FROM index_vectors WHERE chunk_id IS NOT NULL AND len(vector) = 64 AND list_max(list_transform(vector, lambda x: abs(x))) > 0 GROUP BY 1),
+s AS (SELECT a.chunk_id AS a, b.chunk_id AS b, round(list_cosine_similarity(a.v, b.v), 12) AS s FROM v a JOIN v b ON a.chunk_id <> b.chunk_id),
+t AS (SELECT a, b FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS nr FROM s WHERE s >= 0.85) WHERE nr <= 10)
+SELECT DISTINCT least(a, b) AS chunk_id_a, greatest(a, b) AS chunk_id_b FROM t""",
+    "p2_found": f"""WITH p AS (SELECT chunk_id, unnest(ps) AS p, generate_subscripts(ps, 1) - 1 AS para_no FROM (
+  SELECT DISTINCT chunk_id, list_filter(string_split_regex(regexp_replace(text, '\r\n?', chr(10), 'g'), '\n[{WS}]*\n'), lambda x: regexp_matches(x, '[^{WS}]')) AS ps FROM chunks WHERE chunk_id IS NOT NULL AND text IS NOT NULL))
+SELECT chunk_id, CAST(para_no AS INT) AS para_no FROM p WHERE len(regexp_extract_all(p, '[^{WS}]+')) > 900""",
+    "p4_found": f"""WITH e AS (SELECT chunk_id, lower(trim(regexp_replace(x.name, '[{WS}]+', ' ', 'g'))) AS n FROM (SELECT chunk_id, unnest(entities) AS x FROM chunk_extractions)),
+r AS (SELECT DISTINCT chunk_id, n FROM e WHERE n <> ''), c AS (SELECT n, count(*) AS k FROM r GROUP BY 1), t AS (SELECT count(DISTINCT chunk_id) AS total FROM r),
+p AS (SELECT a.n AS entity_a, b.n AS entity_b, count(*) AS k FROM r a JOIN r b ON a.chunk_id = b.chunk_id AND a.n < b.n GROUP BY 1, 2 HAVING count(*) >= 8)
+SELECT entity_a, entity_b FROM p JOIN c a ON a.n = entity_a JOIN c b ON b.n = entity_b, t WHERE p.k * total >= 10 * a.k * b.k""",
+    "p5_found": """WITH f AS (SELECT DISTINCT finding_id AS id, s FROM (SELECT finding_id, text AS s FROM review_findings UNION ALL SELECT finding_id, quote FROM review_findings) WHERE length(s) >= 60 AND finding_id IS NOT NULL),
+q AS (SELECT DISTINCT id, substr(s, i + 1, 60) AS g FROM (SELECT id, s, unnest(range(0, length(s) - 59)) AS i FROM f)),
+y AS (SELECT * FROM q WHERE g IN (SELECT g FROM q GROUP BY 1 HAVING count(*) > 1))
+SELECT DISTINCT a.id AS finding_a, b.id AS finding_b FROM y a JOIN y b USING (g) WHERE a.id < b.id""",
+}
