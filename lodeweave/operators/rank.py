@@ -35,16 +35,6 @@ def top_k(scored: DataFrame, k: int, by: str = "query_id", item: str = "chunk_id
     return scored.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
-def _postings(texts: DataFrame, key: str, terms: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(term, key, tf, size) of the wanted terms only, and one row (n, avg_size, mean_idf) over all."""
-    sized = texts.select(key, tokens(F.col("text")).alias("ts"))
-    stats = sized.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("ts")).alias("avg_size"))
-    flat = sized.select(key, F.size("ts").alias("size"), F.explode("ts").alias("term"))
-    counts = flat.groupBy("term", key, "size").agg(F.count(F.lit(1)).alias("tf"))
-    wanted = counts.join(broadcast_if_small(terms), "term", "left_semi")
-    return wanted, stats
-
-
 def bm25(texts: DataFrame, queries: DataFrame, k: int = 10, key: str = "chunk_id") -> DataFrame:
     """Okapi BM25. Negative idf becomes EPSILON times the mean idf of all terms; a term repeated in a query
     counts again. Where fewer than k chunks match, the ranking goes on with score 0 in order of id.

@@ -39,10 +39,12 @@ def gate(docs: DataFrame, allowed: tuple[str, ...] = ALLOWED) -> DataFrame:
 
 def candidates(docs: DataFrame, target: int) -> DataFrame:
     """(pmcid, class, nr): forced documents first, then the others by corpus and pmcid, until the target is
-    full; forced ones pass it. The running number is the feature, over one row per document."""
-    one = docs.withColumn("class", F.when(F.col("forced_include"), 0).when(F.col("corpus") == "ci", 1).otherwise(2))
-    nr = F.row_number().over(Window.orderBy("class", "pmcid"))
-    return one.select("pmcid", "class").withColumn("nr", nr).filter((F.col("class") == 0) | (F.col("nr") <= target))
+    full; forced ones pass it. The limit is the feature; only what it lets through is numbered."""
+    one = docs.withColumn("class", F.when(F.col("forced_include"), 0).when(F.col("corpus") == "ci", 1).otherwise(2)).select("pmcid", "class")
+    forced = one.filter("class = 0")
+    room = max(0, target - forced.count())
+    taken = forced.unionByName(one.filter("class > 0").orderBy("class", "pmcid").limit(room))
+    return taken.withColumn("nr", F.row_number().over(Window.orderBy("class", "pmcid")))
 
 
 def status(manifest: DataFrame, stored: DataFrame) -> DataFrame:
