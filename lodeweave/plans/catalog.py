@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import chunking, community, graph, lens, metrics, rank, records
+from ..operators import chunking, community, graph, lens, metrics, rank, records, review
 from ..session import materialize
 from ..sources import corpus
 from .oracles import ORACLES
@@ -349,6 +349,18 @@ def grounded_rates(spark, folder):
     return records.consistency(v)
 
 
+@query
+def run_records(spark, folder):
+    return review.run_records(_findings(spark, folder), _index(spark, folder), _scored(spark, folder), _calls(spark, folder))
+
+
+@query
+def finding_claims(spark, folder):
+    """The distinct sentences of each run's findings as claims, the first twenty."""
+    texts = _findings(spark, folder).select(F.col("run_id").alias("id"), F.col("finding_id").alias("position"), "text")
+    return review.claims(texts, "panel")
+
+
 @query
 def token_collisions(spark, folder):
     """In how many corpus documents the first word of a twin's title stands."""

@@ -201,6 +201,17 @@ GROUP BY 1, 2 HAVING count(DISTINCT reviewer) + max(CASE WHEN reviewer IS NULL T
   row_number() OVER (PARTITION BY run_id ORDER BY created_at, finding_id) AS nr FROM calls) SELECT run_id, finding_id, spent_before, nr FROM w WHERE spent_before < 4000 AND nr <= 12""",
     "grounded_rates": f"""WITH {FULL}, {FINDINGS}, {GROUND} SELECT reviewer AS source, count(*) AS n, round(CASE WHEN count(*) >= 10 THEN avg(CASE WHEN grounded > 0 THEN 1e0 ELSE 0 END) END, 6) AS rate, grouping(reviewer) = 1 AS overall
 FROM gr WHERE named > 0 GROUP BY GROUPING SETS ((reviewer), ())""",
+    "run_records": f"""WITH {FULL}, {FINDINGS}, {GROUND}, {CALLS},
+k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run_id, reviewer ORDER BY created_at, finding_id) AS place FROM finds WHERE regexp_matches(text, '[^{WS}]')) WHERE place <= 8),
+e AS (SELECT finding_id, count(*) AS n FROM (SELECT DISTINCT finding_id, unnest(evidence_chunk_ids) AS chunk_id FROM k) JOIN idx USING (chunk_id) GROUP BY 1),
+h AS (SELECT run_id, count(*) AS findings, CAST(sum(coalesce(len(list_distinct(evidence_chunk_ids)), 0) - coalesce(n, 0)) AS BIGINT) AS dropped_ids FROM k LEFT JOIN e USING (finding_id) GROUP BY 1),
+g AS (SELECT run_id, count(*) FILTER (grounded > 0) AS grounded FROM gr JOIN finds USING (finding_id) GROUP BY 1),
+s AS (SELECT run_id, dimension, reviewer, CASE lower(trim(severity)) WHEN 'minor' THEN 4 WHEN 'major' THEN 2 WHEN 'critical' THEN 1 END AS score FROM finds),
+t AS (SELECT run_id, count(*) AS conflicts FROM (SELECT run_id, dimension FROM s WHERE score IS NOT NULL GROUP BY 1, 2
+      HAVING count(DISTINCT reviewer) + max(CASE WHEN reviewer IS NULL THEN 1 ELSE 0 END) >= 2 AND max(score) - min(score) >= 2) GROUP BY 1),
+c AS (SELECT run_id, count(*) AS calls, CAST(sum(p) AS BIGINT) AS prompt_tokens, max(p) AS largest_prompt FROM calls GROUP BY 1)
+SELECT run_id, coalesce(findings, 0) AS findings, coalesce(dropped_ids, 0) AS dropped_ids, coalesce(grounded, 0) AS grounded, coalesce(conflicts, 0) AS conflicts, calls, prompt_tokens, largest_prompt
+FROM c LEFT JOIN h USING (run_id) LEFT JOIN g USING (run_id) LEFT JOIN t USING (run_id)""",
     "token_collisions": f"""WITH {FULL}, t AS (SELECT DISTINCT split_part(trim(title), ' ', 1) AS token FROM twins)
 SELECT token, count(DISTINCT doc_id) AS documents FROM t LEFT JOIN idx ON contains(lower(text), lower(token)) GROUP BY 1""",
     "event_windows": "SELECT event_type, date_trunc('hour', ts) AS hour, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
