@@ -7,15 +7,24 @@ doesn't show. Queries are the small side: every join goes from their terms to po
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import doc_of, node_key, tokens
-from ..session import broadcast_if_small
+from ..session import broadcast_if_small, materialize
 from .graph import both_ways
 
 K1, B, EPSILON, DELTA = 1.5, 0.75, 0.25, 1.0
 RRF_K, NEIGHBOUR_DAMP, TOP_COMMUNITIES = 60, 0.5, 8
+#: Terms of all queries of one call together.
+QUERY_TERMS = 2_000_000
+#: Scores a task holds at once.
+CELLS = 4_000_000
 
 
 def index_chunks(chunks: DataFrame, excluded: DataFrame | None = None) -> DataFrame:
@@ -39,25 +48,60 @@ def bm25(texts: DataFrame, queries: DataFrame, k: int = 10, key: str = "chunk_id
     """Okapi BM25. Negative idf becomes EPSILON times the mean idf of all terms; a term repeated in a query
     counts again. Where fewer than k chunks match, the ranking goes on with score 0 in order of id.
     An empty index gives no rows.
+
+    Document frequencies are one grouping over the corpus. The query terms with their weights, whose number
+    is checked, go to every task as lists of queries per term; a task scores its chunks against all queries
+    at once and passes on k per query, so neither postings nor scores of whole rankings are shuffled.
     """
     asked = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
+    if asked.limit(QUERY_TERMS + 1).count() > QUERY_TERMS:
+        raise ValueError(f"more than {QUERY_TERMS} query terms: rank the queries in parts")
     sized = texts.select(key, tokens(F.col("text")).alias("ts"))
-    stats = sized.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("ts")).alias("avg_size"))
+    stats = sized.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("ts")).alias("avg_size")).first()
+    schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, {key} {texts.schema[key].dataType.simpleString()}, score double"
+    if not stats.n:
+        return texts.sparkSession.createDataFrame([], schema + ", rank int")
     df = sized.select(F.explode(F.array_distinct("ts")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    raw = df.crossJoin(F.broadcast(stats)).select("term", "df", "n", "avg_size", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"))
-    mean = raw.agg(F.avg("idf").alias("mean_idf"))
-    terms = asked.select("term").distinct()
-    idf = raw.join(broadcast_if_small(terms), "term", "left_semi").crossJoin(F.broadcast(mean)).withColumn("idf", F.when(F.col("idf") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("idf")))
-    flat = sized.select(key, F.size("ts").alias("size"), F.explode("ts").alias("term")).join(broadcast_if_small(terms), "term", "left_semi")
-    tf = flat.groupBy("term", key, "size").agg(F.count(F.lit(1)).alias("tf")).join(idf, "term")
-    norm = F.col("tf") + K1 * (1 - B + B * F.col("size") / F.col("avg_size"))
-    part = tf.select("term", key, (F.col("idf") * F.col("tf") * (K1 + 1) / norm).alias("part"))
-    scored = part.join(broadcast_if_small(asked), "term").groupBy("query_id", key).agg(F.round(F.sum(F.col("part") * F.col("times")), 6).alias("score"))
-    best = top_k(scored, k, item=key).drop("rank")
-    # at most k - 1 of the 2k least ids matched where a ranking is short of k, so the rest fills it
-    spare = texts.select(key).orderBy(key).limit(2 * k)
-    fill = queries.select("query_id").distinct().crossJoin(F.broadcast(spare)).withColumn("score", F.lit(0.0)).join(best.select("query_id", key), ["query_id", key], "left_anti")
-    return top_k(best.unionByName(fill), k, item=key)
+    raw = materialize(df.select("term", (F.log(F.lit(stats.n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf")), "idf")
+    mean = raw.agg(F.avg("idf")).first()[0] or 0.0
+    known = asked.join(raw, "term").withColumn("idf", F.when(F.col("idf") < 0, EPSILON * mean).otherwise(F.col("idf"))).orderBy("query_id", "term").toArrow()
+    ids = queries.select("query_id").distinct().orderBy("query_id").toArrow().column(0).combine_chunks()
+    score = _bm25_block(known, ids, stats.avg_size, k, key)
+    return top_k(texts.select(key, "text").mapInArrow(score, schema), k, item=key)
+
+
+def _bm25_block(known: pa.Table, ids: pa.Array, avg_size: float, k: int, key: str):
+    place = {v: i for i, v in enumerate(ids.to_pylist())}
+    terms: dict[str, list] = {}
+    for q, t, n, w in zip(*(known.column(c).to_pylist() for c in ("query_id", "term", "times", "idf"))):
+        terms.setdefault(t, []).append((place[q], n * w * (K1 + 1)))
+    lists = {t: (np.array([q for q, _ in x]), np.array([w for _, w in x])) for t, x in terms.items()}
+
+    def run(batches):
+        word = re.compile("[a-z0-9]+").findall
+        step = max(16, min(1024, CELLS // max(1, len(place))))
+        for batch in batches:
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                names = part.column(0).to_pylist()
+                order = sorted(range(len(names)), key=names.__getitem__)
+                rows = np.zeros((len(names), len(place)))
+                texts = part.column(1).to_pylist()
+                for r, i in enumerate(order):
+                    found = word((texts[i] or "").lower())
+                    base = K1 * (1 - B + B * len(found) / avg_size) if avg_size else K1
+                    met = [(lists[t], n / (n + base)) for t, n in Counter(found).items() if t in lists]
+                    if met:
+                        q = np.concatenate([x[0] for x, _ in met])
+                        rows[r] = np.bincount(q, np.concatenate([x[1] * f for x, f in met]), len(place))
+                rows = np.round(rows, 6)
+                # the best k of each query here; ties by id, since rows are in order of id
+                best = np.argsort(-rows, axis=0, kind="stable")[:k]
+                q = np.broadcast_to(np.arange(len(place)), best.shape).ravel()
+                r = best.ravel()
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(q)), part.column(0).take(pa.array(np.array(order)[r])), pa.array(rows[r, q])], ["query_id", key, "score"])
+
+    return run
 
 
 def bm25_plus(reports: DataFrame, queries: DataFrame, k: int = TOP_COMMUNITIES, key: str = "community_id") -> DataFrame:
@@ -89,9 +133,6 @@ def vector_search(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str
     The queries go to every task as one block (their number is the caller's, and checked), so each stored
     vector is read once; a task keeps k per query, and only those are shuffled.
     """
-    import numpy as np
-    import pyarrow as pa
-
     asked = queries.filter(F.size("vector") > 0).select("query_id", F.col("vector").cast("array<double>").alias("vector"))
     if asked.limit(100_001).count() > 100_000:
         raise ValueError("more than 100000 queries: search them in parts")
@@ -111,9 +152,10 @@ def vector_search(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str
     ids = names.combine_chunks()
 
     def search(batches):
+        step = max(16, min(4096, CELLS // max(1, len(q))))
         for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                part = batch.slice(at, 4096)
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
                 x = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(float)
                 score = np.round(q @ x.T, 6)
                 if score.shape[1] > k:

@@ -188,7 +188,7 @@ def ladder(spark, folder):
         "vector": dense,
         "rrf": rank.rrf([lexical, dense], 2000),
         "graph_local": rank.graph_local(cases, m, edge, index, 2000, vectors=vectors),
-        "graph_global": rank.graph_global(cases.select("query_id", "text"), _reports(assignment, edge), assignment, m, index, 2000),
+        "graph_global": rank.graph_global(cases.select("query_id", "text"), materialize(_reports(assignment, edge), "reports"), assignment, m, index, 2000),
     }
     relevant = materialize(_relevant(spark, folder, index, cases), "relevant")
     parts = [metrics.case_metrics(rank.doc_ranking(r), relevant).withColumn("ranker", F.lit(name)) for name, r in rankers.items()]
@@ -246,7 +246,8 @@ def graph_global_search(spark, folder):
     out = _excluded(spark, folder)
     m, _, edge = _graph(spark, folder, exclude=True)
     assignment = materialize(_type_assignment(m), "assignment")
-    found = rank.graph_global(_cases(spark, folder).select("query_id", "text"), _reports(assignment, edge), assignment, m, _index(spark, folder, out), 10)
+    reports = materialize(_reports(assignment, edge), "reports")
+    found = rank.graph_global(materialize(_cases(spark, folder).select("query_id", "text"), "cases"), reports, assignment, m, _index(spark, folder, out), 10)
     return found.select("query_id", "chunk_id", "score", F.col("rank").cast("long"))
 
 
