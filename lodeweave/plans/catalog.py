@@ -371,7 +371,15 @@ def token_collisions(spark, folder):
 
 @query
 def lens_findings(spark, folder):
-    return lens.lens(table(spark, folder, "documents").filter("text IS NOT NULL").select("doc_id", "text"), "doc_id").withColumnRenamed("id", "doc_id")
+    return lens.lens(_index(spark, folder), "chunk_id").withColumnRenamed("id", "chunk_id")
+
+
+@query
+def citation_dois(spark, folder):
+    """The DOI in a document's citation against its own, both normalised."""
+    inside = F.lower(F.rtrim(F.trim(F.regexp_extract("citation", lens.DOI, 1)), F.lit(lens.DOI_END)))
+    rows = table(spark, folder, "corpus_docs").select("pmcid", F.when(inside != "", inside).alias("cited"), corpus.clean_doi(F.col("doi")).alias("own")).distinct()
+    return rows.select("pmcid", "cited", "own", (F.col("cited") == F.col("own")).alias("same"))
 
 
 @query

@@ -214,5 +214,8 @@ SELECT run_id, coalesce(findings, 0) AS findings, coalesce(dropped_ids, 0) AS dr
 FROM c LEFT JOIN h USING (run_id) LEFT JOIN g USING (run_id) LEFT JOIN t USING (run_id)""",
     "token_collisions": f"""WITH {FULL}, t AS (SELECT DISTINCT split_part(trim(title), ' ', 1) AS token FROM twins)
 SELECT token, count(DISTINCT doc_id) AS documents FROM t LEFT JOIN idx ON contains(lower(text), lower(token)) GROUP BY 1""",
+    "citation_dois": rf"""WITH c AS (SELECT pmcid, lower(rtrim(regexp_extract(citation, '(?i)(?:\bdoi\s*[:=]\s*|https?://(?:dx\.)?doi\.org/)(\S+)', 1), '.,;:)]}}’"''')) AS cited,
+  lower(regexp_replace({squeeze('doi')}, '(?i)^(https?://(dx\.)?doi\.org/|doi\s*[:=]?\s*)', '')) AS own FROM corpus_docs)
+SELECT DISTINCT pmcid, nullif(cited, '') AS cited, o AS own, nullif(cited, '') = o AS same FROM (SELECT *, CASE WHEN regexp_matches(own, '^10\.\d{{4,9}}/\S+$') THEN own END AS o FROM c)""",
     "event_windows": "SELECT event_type, date_trunc('hour', ts) AS hour, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
 }
