@@ -66,7 +66,7 @@ def _reports(assignment, edge):
 @query
 def sanitize_findings(spark, folder):
     each = table(spark, folder, "chunks").select("chunk_id", F.explode(tx.screened_lines(F.col("text"))).alias("l")).filter(F.size("l.kinds") > 0)
-    return each.select("chunk_id", "l.line_no", F.explode("l.kinds").alias("k")).select("chunk_id", "line_no", "k.kind", "k.detail").distinct()
+    return each.select("chunk_id", F.col("l.line_no").cast("long").alias("line_no"), F.explode("l.kinds").alias("k")).select("chunk_id", "line_no", "k.kind", "k.detail").distinct()
 
 
 @query
@@ -385,4 +385,4 @@ def citation_dois(spark, folder):
 @query
 def event_windows(spark, folder):
     """Events by type and hour, late rows and all; the streaming form of it is in streaming.windows."""
-    return table(spark, folder, "events").groupBy("event_type", F.date_trunc("hour", "ts").alias("hour")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    return table(spark, folder, "events").groupBy("event_type", F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
