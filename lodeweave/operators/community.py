@@ -1,8 +1,9 @@
 """Communities by modularity at several resolutions, as alternating moves and merges of the whole graph.
 
 Every pass is a Spark job over edges: each node looks up the weight to the communities around it and the
-gain of modularity of joining one; only nodes of one parity of a hash move at a time, so neighbours that
-would swap forever don't; then communities become nodes and the passes go on over the smaller graph.
+gain of modularity of joining one; only a third of the nodes, by hash, move at a time, so neighbours that
+would swap forever don't; then communities become nodes and the passes go on over the smaller graph. At
+last the single nodes move once more between the communities found.
 """
 
 from __future__ import annotations
@@ -14,24 +15,39 @@ from ..session import materialize
 from .graph import both_ways
 
 RESOLUTIONS = (0.3, 1.0, 3.0)
+#: Parts the nodes move in, by hash.
+PARTS = 3
 
 
-def _one_pass(links: DataFrame, state: DataFrame, two_m: float, resolution: float, parity: int, seed: int) -> DataFrame:
-    """state: (node, community, degree). Nodes of one parity join the community with the best gain, ties to the least."""
+def _one_pass(links: DataFrame, state: DataFrame, two_m: float, resolution: float, turn: int) -> DataFrame:
+    """state: (node, community, degree), links: (node, other, weight, degree). The nodes whose turn it is join the
+    community with the best gain, the own one first, then the least."""
     total = state.groupBy("community").agg(F.sum("degree").alias("total"))
-    near = links.join(state.select(F.col("node").alias("other"), "community"), "other").groupBy("node", "community").agg(F.sum("weight").alias("w"))
-    mine = state.select("node", F.col("community").alias("own"), "degree")
+    near = links.join(state.select(F.col("node").alias("other"), "community"), "other").select("node", "community", "degree", "weight", F.lit(False).alias("own"))
     # the own community is an option, too, though no link may lead into it
-    options = near.unionByName(state.select("node", "community", F.lit(0.0).alias("w"))).groupBy("node", "community").agg(F.sum("w").alias("w"))
-    rated = options.join(mine, "node").join(total, "community")
-    rest = F.col("total") - F.when(F.col("community") == F.col("own"), F.col("degree")).otherwise(0.0)
-    gain = F.col("w") - F.lit(resolution) * F.col("degree") * rest / F.lit(two_m)
-    best = rated.withColumn("gain", F.round(gain, 9)).groupBy("node", "degree", "own").agg(F.min_by("community", F.struct(-F.col("gain"), (F.col("community") != F.col("own")).cast("int"), F.col("community"))).alias("best"))
-    turn = F.pmod(F.xxhash64("node", F.lit(seed)), F.lit(2)) == parity
-    return best.select("node", F.when(turn, F.col("best")).otherwise(F.col("own")).alias("community"), "degree", (turn & (F.col("best") != F.col("own"))).alias("moved"))
+    stay = state.select("node", "community", "degree", F.lit(0.0).alias("weight"), F.lit(True).alias("own"))
+    options = near.unionByName(stay).groupBy("node", "community").agg(F.sum("weight").alias("w"), F.max("own").alias("own"), F.max("degree").alias("degree"))
+    rest = F.col("total") - F.when(F.col("own"), F.col("degree")).otherwise(0.0)
+    gain = F.round(F.col("w") - F.lit(resolution) * F.col("degree") * rest / F.lit(two_m), 9)
+    order = F.struct(-gain, ~F.col("own"), F.col("community"))
+    best = options.join(total, "community").groupBy("node").agg(F.min_by("community", order).alias("best"), F.max(F.when(F.col("own"), F.col("community"))).alias("own"), F.max("degree").alias("degree"))
+    now = F.pmod(F.xxhash64("node", F.lit(turn // PARTS)), F.lit(PARTS)) == turn % PARTS
+    return best.select("node", F.when(now, F.col("best")).otherwise(F.col("own")).alias("community"), "degree", (now & (F.col("best") != F.col("own"))).alias("moved"))
 
 
-def communities(edge: DataFrame, resolution: float = 1.0, *, levels: int = 3, passes: int = 4) -> DataFrame:
+def _moves(links: DataFrame, state: DataFrame, two_m: float, resolution: float, passes: int, seed: int) -> tuple[DataFrame, bool]:
+    """Passes until no part moves, at most `passes`; whether any node moved."""
+    moved, still = False, 0
+    for turn in range(passes):
+        state = materialize(_one_pass(links, state, two_m, resolution, seed + turn), "state")
+        changed = not state.filter("moved").isEmpty()
+        moved, still = moved or changed, 0 if changed else still + 1
+        if still == PARTS:
+            break
+    return state, moved
+
+
+def communities(edge: DataFrame, resolution: float = 1.0, *, levels: int = 4, passes: int = 9, refine: int = 6) -> DataFrame:
     """(node, community_id) of every node with an edge; ids count from 0 by size, then by least member.
 
     Deterministic; an empty graph gives no rows. Edges are (src, dst, weight), once each.
@@ -46,14 +62,11 @@ def communities(edge: DataFrame, resolution: float = 1.0, *, levels: int = 3, pa
         degree = links.groupBy("node").agg(F.sum("weight").alias("degree"))
         if loops is not None:
             degree = degree.unionByName(loops.select("node", F.col("weight").alias("degree"))).groupBy("node").agg(F.sum("degree").alias("degree"))
-        state = materialize(degree.select("node", F.col("node").alias("community"), "degree"), "state")
-        moved = False
-        for turn in range(passes):
-            new = materialize(_one_pass(links, state, two_m, resolution, turn % 2, level * passes + turn // 2), "state")
-            changed = not new.filter("moved").isEmpty()
-            state, moved = new, moved or changed
-            if not changed and turn % 2:
-                break
+        start = materialize(degree.select("node", F.col("node").alias("community"), "degree"), "state")
+        weighted = materialize(links.join(degree, "node"), "links")
+        if not level:
+            single, first = start, weighted
+        state, moved = _moves(weighted, start, two_m, resolution, passes, level * passes)
         if not moved:
             break
         step = state.select(F.col("node").alias("community"), F.col("community").alias("next"))
@@ -66,6 +79,8 @@ def communities(edge: DataFrame, resolution: float = 1.0, *, levels: int = 3, pa
         merged = materialize(merged, "merged")
         loops = merged.filter("a = b").select(F.col("a").alias("node"), "weight")
         links = merged.filter("a <> b").select(F.col("a").alias("node"), F.col("b").alias("other"), "weight")
+    placed = single.select("node", "degree").join(member, "node").select("node", "community", "degree")
+    member = _moves(first, materialize(placed, "state"), two_m, resolution, refine, levels * passes)[0].select("node", "community")
     sizes = member.groupBy("community").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("least"))
     return member.join(numbered(sizes), "community").select("node", "community_id")
 

@@ -80,6 +80,14 @@ def test_communities(spark):
     assert graph.propagate_labels(e, 3).count() == 8
 
 
+def test_communities_of_a_ring(spark):
+    """Six cliques of five in a ring with one thin link each: no partition has more modularity than the cliques."""
+    near = [(f"n{c}{i}", f"n{c}{j}", 1.0) for c in range(6) for i in range(5) for j in range(i + 1, 5)]
+    ring = [tuple(sorted((f"n{c}0", f"n{(c + 1) % 6}1"))) + (0.25,) for c in range(6)]
+    got = community.communities(spark.createDataFrame(near + ring, "src string, dst string, weight double"), 1.0).collect()
+    assert len({x.community_id for x in got}) == 6 == len({(x.node[:2], x.community_id) for x in got})
+
+
 def fixture(spark):
     chunks = spark.createDataFrame([("docA:0:x", "Met4 drives sulfur metabolism", "z"), ("docB:0:x", "RNA sequencing of strains", "z"), ("docTwin:0:x", "Met4 drives sulfur metabolism here", "z"), ("docE:0:x", "other words entirely", "z"), ("docC:0:x", " ", "z"), ("docD:0:x", None, "z")], "chunk_id string, text string, doc_id string")
     vectors = spark.createDataFrame([("docA:0:x", [1.0, 0.0, 0.0]), ("docB:0:x", [0.0, 1.0, 0.0]), ("docTwin:0:x", [0.9, 0.1, 0.0])], "chunk_id string, vector array<float>")
