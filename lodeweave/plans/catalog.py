@@ -251,6 +251,15 @@ def graph_global_search(spark, folder):
     return found.select("query_id", "chunk_id", "score", F.col("rank").cast("long"))
 
 
+@query
+def ranked_reports(spark, folder):
+    """The eight best community reports of each case by BM25+."""
+    m, _, edge = _graph(spark, folder, exclude=True)
+    reports = materialize(_reports(materialize(_type_assignment(m), "assignment"), edge), "reports")
+    best = rank.bm25_plus(reports, materialize(_cases(spark, folder).select("query_id", "text"), "cases"))
+    return best.select("query_id", F.col("community_id").cast("long"), "score", F.col("rank").cast("long"))
+
+
 @query
 def communities(spark, folder):
     _, _, edge = _graph(spark, folder)

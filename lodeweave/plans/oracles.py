@@ -180,6 +180,7 @@ SELECT query_id, relevant, found, found_3k, round(found / relevant, 6) AS recall
     "top_members": f"WITH {mentions()}, {NODES}, {TOPS} SELECT community_id, size, rank, node, degree FROM tops",
     "graph_local_search": f"WITH {RUN}, {CASES}, {mentions(WITHOUT)}, {CANDIDATES}, {LOCAL} {TOP10}",
     "graph_global_search": f"WITH {RUN}, {CASES}, {mentions(WITHOUT)}, {NODES}, {TOPS}, {PLUS} {TOP10}",
+    "ranked_reports": f"WITH {RUN}, {CASES}, {mentions(WITHOUT)}, {NODES}, {TOPS}, {PLUS} SELECT query_id, CAST(community_id AS BIGINT) AS community_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, community_id) AS rank FROM best8",
     "latest_documents": f"WITH {LATEST} SELECT pmcid, version, {LICENSE} AS license, {squeeze('title')} AS title, coalesce(len(authors), 0) AS n_authors FROM latest",
     "license_gate": f"SELECT pmcid, reason IS NULL AS accepted, reason FROM (SELECT pmcid, CASE WHEN l IS NULL THEN 'no licence' WHEN l NOT IN ('CC0', 'CC BY') THEN 'licence ' || l END AS reason FROM (SELECT DISTINCT pmcid, license_code, {LICENSE} AS l FROM corpus_docs))",
     "corpus_status": """SELECT coalesce(m.doc_id, s.doc_id) AS doc_id, CASE WHEN s.doc_id IS NULL THEN 'missing' WHEN m.doc_id IS NULL THEN 'orphan' ELSE 'ok' END AS outcome
