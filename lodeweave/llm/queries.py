@@ -9,10 +9,16 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def p1_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    from .similar import similar_vectors
+
+    return similar_vectors(table(spark, folder, "index_vectors"), k=10, min_similarity=None)
+
+
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
-    from .similar import neighbour_pairs, similar_vectors
+    from .similar import neighbour_pairs
 
-    pairs = neighbour_pairs(similar_vectors(table(spark, folder, "index_vectors"), k=10, min_similarity=0.85))
+    pairs = neighbour_pairs(p1_neighbours(spark, folder).filter("similarity >= 0.85"))
     return pairs.selectExpr("a AS chunk_id_a", "b AS chunk_id_b")
 
 
@@ -98,7 +104,7 @@ def p8_composition(spark: SparkSession, folder: str) -> DataFrame:
     return p8_subjects(spark, folder).groupBy("subject").agg(F.count(F.lit(1)).alias("documents"), F.sum("words").alias("words"), F.sum(F.col("words") * F.col("share")).alias("subject_words"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_pieces, p3_found, p4_found, p4_pairs, p5_found, p5_portions, p6_ids, p7_found, p7_report, p8_found, p8_composition)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_neighbours, p2_found, p2_pieces, p3_found, p4_found, p4_pairs, p5_found, p5_portions, p6_ids, p7_found, p7_report, p8_found, p8_composition)}
 
 # Unicode white space as a class of the SQL engine's regular expressions.
 WS = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
