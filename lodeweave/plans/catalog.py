@@ -52,7 +52,7 @@ def _graph(spark, folder, exclude=False):
 
 
 def _type_assignment(m):
-    """A fixed assignment for the searches that need one: nodes by their type."""
+    """A fixed assignment for the queries that SQL checks: nodes by their type."""
     number = F.create_map(*[F.lit(x) for i, t in enumerate(graph.ENTITY_TYPES) for x in (t, i)])
     return graph.nodes(m).select("node", F.element_at(number, F.col("node_type")).alias("community_id"))
 
@@ -63,6 +63,12 @@ def _reports(assignment, edge):
     return tops.groupBy("community_id").agg(names.alias("text"))
 
 
+def _communities(edge):
+    """(assignment, reports) of the communities of the graph."""
+    assignment = materialize(community.communities(edge, 1.0), "assignment")
+    return assignment, materialize(_reports(assignment, edge), "reports")
+
+
 @query
 def sanitize_findings(spark, folder):
     each = table(spark, folder, "chunks").select("chunk_id", F.explode(tx.screened_lines(F.col("text"))).alias("l")).filter(F.size("l.kinds") > 0)
@@ -182,13 +188,13 @@ def ladder(spark, folder):
     index, cases, vectors, lexical, dense = _case_rankings(spark, folder, 2000)
     m, _, edge = _graph(spark, folder, exclude=True)
     edge = materialize(edge, "edges")
-    assignment = materialize(_type_assignment(m), "assignment")
+    assignment, reports = _communities(edge)
     rankers = {
         "bm25": lexical,
         "vector": dense,
         "rrf": rank.rrf([lexical, dense], 2000),
         "graph_local": rank.graph_local(cases, m, edge, index, 2000, vectors=vectors),
-        "graph_global": rank.graph_global(cases.select("query_id", "text"), materialize(_reports(assignment, edge), "reports"), assignment, m, index, 2000),
+        "graph_global": rank.graph_global(cases.select("query_id", "text"), reports, assignment, m, index, 2000),
     }
     relevant = materialize(_relevant(spark, folder, index, cases), "relevant")
     parts = [metrics.case_metrics(rank.doc_ranking(r), relevant).withColumn("ranker", F.lit(name)) for name, r in rankers.items()]
@@ -251,6 +257,16 @@ def graph_global_search(spark, folder):
     return found.select("query_id", "chunk_id", "score", F.col("rank").cast("long"))
 
 
+@query
+def graph_community_search(spark, folder):
+    """As graph_global_search, over the reports of the communities of the graph."""
+    out = _excluded(spark, folder)
+    m, _, edge = _graph(spark, folder, exclude=True)
+    assignment, reports = _communities(materialize(edge, "edges"))
+    found = rank.graph_global(materialize(_cases(spark, folder).select("query_id", "text"), "cases"), reports, assignment, m, _index(spark, folder, out), 10)
+    return found.select("query_id", "chunk_id", "score", F.col("rank").cast("long"))
+
+
 @query
 def ranked_reports(spark, folder):
     """The eight best community reports of each case by BM25+."""
