@@ -46,12 +46,12 @@ def p4_pairs(spark: SparkSession, folder: str) -> DataFrame:
 
     from .together import together
 
-    return together(table(spark, folder, "chunk_extractions"), "chunk_id", F.col("entities.name"), least=8)
+    return together(table(spark, folder, "chunk_extractions"), "chunk_id", F.col("entities.name"), least=1)
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """Counts times N are compared as whole numbers, in decimals that can't overflow."""
-    often = p4_pairs(spark, folder).filter("CAST(n_ab AS DECIMAL(38,0)) * n >= CAST(10 AS DECIMAL(38,0)) * CAST(n_a AS DECIMAL(18,0)) * CAST(n_b AS DECIMAL(18,0))")
+    often = p4_pairs(spark, folder).filter("n_ab >= 8").filter("CAST(n_ab AS DECIMAL(38,0)) * n >= CAST(10 AS DECIMAL(38,0)) * CAST(n_a AS DECIMAL(18,0)) * CAST(n_b AS DECIMAL(18,0))")
     return often.selectExpr("a AS entity_a", "b AS entity_b")
 
 
@@ -62,10 +62,24 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return pairs.selectExpr("a AS finding_a", "b AS finding_b")
 
 
+def p5_spans(spark: SparkSession, folder: str) -> DataFrame:
+    from .spans import span_classes
+
+    return span_classes(table(spark, folder, "review_findings"), "finding_id", ["text", "quote"], least=60)[0]
+
+
+def p5_members(spark: SparkSession, folder: str) -> DataFrame:
+    """The fields of each class of equal strings in p5_spans; a class of several findings is a shared stretch, too."""
+    from .spans import span_classes
+
+    return span_classes(table(spark, folder, "review_findings"), "finding_id", ["text", "quote"], least=60)[1]
+
+
 def p5_portions(spark: SparkSession, folder: str) -> DataFrame:
-    from .spans import shared_spans
+    from .spans import shared_spans, short_fields
 
-    return shared_spans(table(spark, folder, "review_findings"), "finding_id", ["text", "quote"], least=60)[2]
+    rows, fields = table(spark, folder, "review_findings"), ["text", "quote"]
+    return shared_spans(rows, "finding_id", fields, least=60)[2].unionByName(short_fields(rows, "finding_id", fields, 60))
 
 
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
@@ -104,7 +118,7 @@ def p8_composition(spark: SparkSession, folder: str) -> DataFrame:
     return p8_subjects(spark, folder).groupBy("subject").agg(F.count(F.lit(1)).alias("documents"), F.sum("words").alias("words"), F.sum(F.col("words") * F.col("share")).alias("subject_words"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_neighbours, p2_found, p2_pieces, p3_found, p4_found, p4_pairs, p5_found, p5_portions, p6_ids, p7_found, p7_report, p8_found, p8_composition)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_neighbours, p2_found, p2_pieces, p3_found, p4_found, p4_pairs, p5_found, p5_spans, p5_members, p5_portions, p6_ids, p7_found, p7_report, p8_found, p8_composition)}
 
 # Unicode white space as a class of the SQL engine's regular expressions.
 WS = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"

@@ -161,6 +161,34 @@ def shared_spans(records: DataFrame, id_col: str, fields: list[str], *, least: i
     return pairs, spans, _portions(slim, found)
 
 
+def span_classes(records: DataFrame, id_col: str, fields: list[str], *, least: int = 60) -> tuple[DataFrame, DataFrame]:
+    """(spans, members): the spans of shared_spans with each class of equal strings told once, by its least holder.
+
+    members: (rep_id, rep_field, id, field, length) for every field of a string that shares a stretch with another
+    record; a class of several records is itself a shared stretch, the whole string. spans: (rep_id_a, rep_field_a, start_a,
+    rep_id_b, rep_field_b, start_b, length), the maximal repeats between different classes, both ways round, without
+    those held by one record alone. All of shared_spans' rows follow by joining members to either side.
+    """
+    holders = materialize(held_strings(records, id_col, fields, least), "strings")
+    found = materialize(repeats(materialize(holders.select("sid", "sid2", "s").distinct(), "distinct"), least), "repeats")
+    slim = holders.select("sid", "sid2", "id", "field", F.length("s").alias("length"))
+    reps = slim.groupBy("sid", "sid2").agg(F.min(F.struct("id", "field")).alias("rep"), F.min("id").alias("lo"), F.max("id").alias("hi"))
+    side = lambda x: reps.select(*[F.col(c).alias(f"{c}_{x}") for c in reps.columns])
+    cut = found.join(side("a"), ["sid_a", "sid2_a"]).join(side("b"), ["sid_b", "sid2_b"]).filter("least(lo_a, lo_b) <> greatest(hi_a, hi_b)")
+    cut = materialize(cut, "cut")
+    spans = cut.select(F.col("rep_a.id").alias("rep_id_a"), F.col("rep_a.field").alias("rep_field_a"), "start_a", F.col("rep_b.id").alias("rep_id_b"), F.col("rep_b.field").alias("rep_field_b"), "start_b", "length")
+    linked = cut.select(F.col("sid_a").alias("sid"), F.col("sid2_a").alias("sid2")).unionByName(reps.filter("lo <> hi").select("sid", "sid2")).distinct()
+    members = slim.join(reps.join(linked, ["sid", "sid2"]), ["sid", "sid2"])
+    return spans, members.select(F.col("rep.id").alias("rep_id"), F.col("rep.field").alias("rep_field"), "id", "field", "length")
+
+
+def short_fields(records: DataFrame, id_col: str, fields: list[str], least: int) -> DataFrame:
+    """(id, field, length, shared) of the fields of fewer than `least` code points, which share nothing; null ids and fields left out."""
+    each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.length(F.col(f).cast("string")).alias("length")) for f in fields])).alias("x")
+    rows = records.select(F.col(id_col).alias("id"), each).select("id", "x.field", "x.length").filter(F.col("id").isNotNull() & (F.col("length") < least))
+    return rows.distinct().withColumn("shared", F.lit(0))
+
+
 def _portions(slim: DataFrame, found: DataFrame) -> DataFrame:
     """Union of the shared stretches of each string, told apart by whether another record holds the other side."""
     held = slim.groupBy("sid", "sid2").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))

@@ -3,7 +3,8 @@ import random
 import numpy as np
 
 import lodeweave.llm.spans as spans
-from lodeweave.llm.spans import rolling, shared_spans
+from lodeweave.llm import queries
+from lodeweave.llm.spans import rolling, shared_spans, span_classes
 
 SCHEMA = "finding_id long, text string, quote string, id string, s string, sid long"
 
@@ -87,3 +88,32 @@ def test_rolling_hash_tells_windows_apart():
         for k in range(len(t) - width + 1):
             same.setdefault(t[k : k + width], set()).add(int(h[k]))
         assert len(h) == len(t) - width + 1 and all(len(v) == 1 for v in same.values()) and len({next(iter(v)) for v in same.values()}) == len(same)
+
+
+def test_classes_and_members_give_all_spans(spark):
+    rows = rows_with_repeats(3, 40)
+    rows += [(100 + i, rows[1][1], rows[2][1]) for i in range(3)]  # equal strings
+    df = frame(spark, rows)
+    want = {tuple(r) for r in shared_spans(df, "finding_id", ["text", "quote"], least=20)[1].collect()}
+    found, members = (x.collect() for x in span_classes(df, "finding_id", ["text", "quote"], least=20))
+    held = {}
+    for r in members:
+        held.setdefault((r.rep_id, r.rep_field), []).append((r.id, r.field, r.length))
+    got = set()
+    for r in found:
+        a, b = held[r.rep_id_a, r.rep_field_a], held[r.rep_id_b, r.rep_field_b]
+        got |= {(x[0], x[1], r.start_a, y[0], y[1], r.start_b, r.length) for x in a for y in b if x[0] != y[0]}
+    for c in held.values():
+        got |= {(x[0], x[1], 0, y[0], y[1], 0, x[2]) for x in c for y in c if x[0] != y[0]}
+    assert got == want and any(len(c) > 3 for c in held.values())
+
+
+def test_queries_give_spans_and_short_fields(spark, tmp_path):
+    s = "the very same stretch of letters, which is long enough to count as a case of it"
+    rows = [(1, s, "short"), (2, "x" + s, None), (3, s, ""), (4, "other", None)]
+    frame(spark, rows).write.parquet(f"{tmp_path}/review_findings.parquet")
+    run = lambda name: {tuple(r) for r in queries.QUERIES[name](spark, str(tmp_path)).collect()}
+    n = len(s)
+    assert run("p5_spans") == {(1, "text", 0, 2, "text", 1, n), (2, "text", 1, 1, "text", 0, n)}
+    assert run("p5_members") == {(1, "text", 1, "text", n), (1, "text", 3, "text", n), (2, "text", 2, "text", n + 1)}
+    assert run("p5_portions") == {(1, "text", n, n), (2, "text", n + 1, n), (3, "text", n, n), (1, "quote", 5, 0), (3, "quote", 0, 0), (4, "text", 5, 0)}

@@ -4,6 +4,7 @@ from itertools import combinations
 
 from pyspark.sql import functions as F
 
+from lodeweave.llm import queries
 from lodeweave.llm.together import together
 
 SCHEMA = "chunk_id string, entities array<struct<name:string,type:string>>, a string, n int, items string"
@@ -40,3 +41,11 @@ def test_against_brute_force(spark):
 
 def test_empty_table(spark):
     assert together(frame(spark, []), "chunk_id", F.col("entities.name")).count() == 0
+
+
+def test_query_gives_every_pair(spark, tmp_path):
+    rows = [("r1", ["a", "b"]), *[(f"h{i}", ["c", "d"]) for i in range(8)], *[(f"z{i}", [f"e{i}"]) for i in range(90)]]
+    frame(spark, rows).write.parquet(f"{tmp_path}/chunk_extractions.parquet")
+    got = {(r.a, r.b): (r.n_ab, r.lift) for r in queries.QUERIES["p4_pairs"](spark, str(tmp_path)).collect()}
+    assert got == {("a", "b"): (1, 99.0), ("c", "d"): (8, 99 / 8)}
+    assert [tuple(r) for r in queries.QUERIES["p4_found"](spark, str(tmp_path)).collect()] == [("c", "d")]
