@@ -37,13 +37,15 @@ def query_cases(manuscripts: DataFrame, twins: DataFrame, cited: DataFrame, stor
     return cases, manuscripts.join(own, "preprint_doi", "left_anti").select("preprint_doi", F.lit("its twin isn't stored").alias("reason"))
 
 
-def claims(texts: DataFrame, source: str, most: int = 20) -> DataFrame:
-    """(claim_id, source, text): the distinct sentences of texts (id, position, text), upper and lower case alike, the
-    first `most` of each id in order. Ids are source:number:hash of the text."""
+def claims(texts: DataFrame, source: str, most: int | None = None) -> DataFrame:
+    """(claim_id, source, text): the distinct sentences of texts (id, position, text), upper and lower case alike, in
+    order; with `most` only the first so many of each id. Ids are source:number:hash of the text."""
     each = texts.select("id", "position", F.posexplode(sentences(F.col("text"))).alias("at", "s")).withColumn("s", squeeze(F.col("s"))).filter("s <> ''")
     key = F.regexp_replace(F.lower("s"), "ß", "ss")
     first = each.withColumn("nr", F.row_number().over(Window.partitionBy("id", key).orderBy("position", "at"))).filter("nr = 1")
-    kept = first.withColumn("i", F.row_number().over(Window.partitionBy("id").orderBy("position", "at")) - 1).filter(F.col("i") < most)
+    kept = first.withColumn("i", F.row_number().over(Window.partitionBy("id").orderBy("position", "at")) - 1)
+    if most is not None:
+        kept = kept.filter(F.col("i") < most)
     return kept.select("id", F.concat_ws(":", F.lit(source), F.col("i").cast("string"), short_hash(F.col("s"))).alias("claim_id"), F.lit(source).alias("source"), F.col("s").alias("text"))
 
 

@@ -382,7 +382,7 @@ def run_records(spark, folder):
 
 @query
 def finding_claims(spark, folder):
-    """The distinct sentences of each run's findings as claims, the first twenty."""
+    """The distinct sentences of each run's findings as claims."""
     texts = _findings(spark, folder).select(F.col("run_id").alias("id"), F.col("finding_id").alias("position"), "text")
     return review.claims(texts, "panel")
 

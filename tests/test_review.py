@@ -25,6 +25,13 @@ def test_claims_and_orders(spark):
     assert {(r.ord, tuple(r.chunk_ids)) for r in review.both_orders(e).collect()} == {(0, ("x", "y")), (1, ("y", "x"))}
 
 
+def test_every_sentence_is_a_claim(spark):
+    rows = [("m", i, f"Claim number {i} stands here. Each says so.") for i in range(30)]
+    got = review.claims(spark.createDataFrame(rows, "id string, position int, text string"), "panel").collect()
+    assert sorted(int(r.claim_id.split(":")[1]) for r in got) == list(range(31))
+    assert {r.text for r in got} == {f"Claim number {i} stands here." for i in range(30)} | {"Each says so."}
+
+
 def test_answers_are_refused_under_exclusion(spark):
     q = spark.createDataFrame([(1, "sulfur")], "query_id int, text string")
     reports = spark.createDataFrame([(0, "sulfur metabolism"), (1, "rna")], "community_id int, text string")
