@@ -26,6 +26,7 @@ TRIM = r"(?U)^\s+|\s+$"
 def flight(p: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     """Move p to 0 or 1, three units at a time, keeping sum(p) and sum(p * size); two may stay fractional."""
     p = p.astype(float).copy()
+    p[p <= EPS], p[p >= 1 - EPS] = 0.0, 1.0
     active: list[int] = []
     draws = rng.random(2 * len(p) + 8)
     turn = 0
@@ -68,7 +69,7 @@ def _count_udf(folder: str, name: str):
 
 def _fly(last: bool, seed: int):
     def block(key, rows):
-        rows = rows.sort_values(["id", "size"], kind="stable", na_position="first")
+        rows = rows.sort_values(["id", "text_key"], kind="stable", na_position="first")
         p, size = rows["p"].to_numpy(float), rows["size"].to_numpy(float)
         p = flight(p, size, np.random.default_rng([seed, abs(hash_key(key))]))
         return rows.assign(p=land(p, size) if last else p)
@@ -85,20 +86,23 @@ def hash_key(key) -> int:
 
 
 def sized_documents(docs: DataFrame, targets: DataFrame, id_col: str, text_col: str, source_col: str, folder: str, tokenizer: str) -> DataFrame:
-    """(id, source, size) of the documents of listed sources, each id once; sources are trimmed and lower-cased."""
+    """(id, text_key, source, size) of the documents of listed sources, each (id, text) once; sources are trimmed and lower-cased."""
     name = F.lower(F.regexp_replace(source_col, TRIM, ""))
     listed = broadcast_if_small(targets.select("source").distinct())
     kept = docs.select(F.col(id_col).alias("id"), name.alias("source"), F.col(text_col).alias("text")).join(listed, "source", "left_semi")
-    return kept.select("id", "source", _count_udf(folder, tokenizer)("text").alias("size")).dropDuplicates(["id", "source", "size"])
+    return kept.select("id", F.xxhash64("text").alias("text_key"), "source", _count_udf(folder, tokenizer)("text").alias("size")).dropDuplicates(["id", "text_key", "source"])
 
 
 def mix_sources(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *, tokenizer: str = "byte_bpe_50k", folder: str = TOKENIZER_DIR, block: int = 4096, seed: int = 7) -> tuple[DataFrame, DataFrame]:
     """(uses, report). uses: (id, source, size, uses) of each document of a listed source, 0 included.
 
-    report: one row per listed source with its target, the shares reached and `short`, true where even
-    max_uses of each document don't fill the target. Null and unlisted sources are left out; null and
-    empty texts have size 0; a source without documents is reported with 0 and is short. Null or negative
-    shares count as 0, null max_uses as 1. Of a source listed twice the larger share counts.
+    report: one row per listed source with its target and the tokens `wanted`, target_share of the total that all
+    listed documents have once; the tokens `used`; share_of_total, used over that total, and actual_share, used over
+    all that was used, which is less where sources are short; and `short`, read off the sample: every document is in it
+    max_uses times and the tokens used are still under those wanted. Null and unlisted sources are left out; null and
+    empty texts have size 0; a source without documents is reported with 0 and is short if anything is wanted of it. Null or
+    negative shares count as 0, null max_uses as 1. Of a source listed twice the larger share counts. Rows repeated with
+    the same id and text are one document; rows with a null id are documents of their own, one per text.
     """
     goals = targets.select(F.lower(F.regexp_replace("source", TRIM, "")).alias("source"), F.greatest(F.coalesce(F.col("target_share").cast("double"), F.lit(0.0)), F.lit(0.0)).alias("target_share"), F.coalesce(F.col("max_uses").cast("long"), F.lit(1)).alias("max_uses"))
     goals = goals.filter(F.col("source").isNotNull()).groupBy("source").agg(F.max(F.struct("target_share", "max_uses")).alias("g")).select("source", "g.*")
@@ -107,17 +111,18 @@ def mix_sources(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", tex
     total = held.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("total"))
     plan = goals.join(held, "source", "left").crossJoin(F.broadcast(total)).fillna(0, ["tokens", "documents"])
     want = F.col("target_share") * F.col("total")
-    plan = plan.withColumn("wanted", want).withColumn("short", F.col("tokens") * F.col("max_uses") < want)
-    rate = F.when(F.col("tokens") == 0, 0.0).otherwise(F.least(want / F.greatest("tokens", F.lit(1)), F.col("max_uses").cast("double")))
+    plan = plan.withColumn("wanted", want)
+    most_often = F.col("max_uses").cast("double")
+    rate = F.when(want <= 0, 0.0).when(F.col("tokens") == 0, most_often).otherwise(F.least(want / F.greatest("tokens", F.lit(1)), most_often))
     plan = materialize(plan.withColumn("rate", rate).withColumn("blocks", F.ceil(F.col("documents") / block)), "plan")
-    fields = "id " + sized.schema["id"].dataType.simpleString() + ", source string, size long, p double"
-    work = sized.join(broadcast_if_small(plan.select("source", "rate")), "source").select("id", "source", "size", (F.col("rate") % 1).alias("p"))
+    fields = "id " + sized.schema["id"].dataType.simpleString() + ", text_key long, source string, size long, p double"
+    work = sized.join(broadcast_if_small(plan.select("source", "rate")), "source").select("id", "text_key", "source", "size", (F.col("rate") % 1).alias("p"))
     most = plan.agg(F.coalesce(F.max("documents"), F.lit(0))).first()[0]
     done, level = [], 0
     while True:
         last = most <= block
         blocks = max(1, -(-most // block))
-        salt = F.pmod(F.xxhash64("id", F.lit(level)), F.lit(blocks)) if not last else F.lit(0)
+        salt = F.pmod(F.xxhash64("id", "text_key", F.lit(level)), F.lit(blocks)) if not last else F.lit(0)
         flown = work.filter("p > 0 and p < 1").withColumn("b", salt).groupBy("source", "b").applyInPandas(_fly(last, seed + level), fields + ", b long")
         flown = materialize(flown.drop("b"), f"flight{level}")
         done.append(work.filter("p <= 0 or p >= 1"))
@@ -130,8 +135,10 @@ def mix_sources(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", tex
         picked = picked.unionByName(part)
     base = broadcast_if_small(plan.select("source", F.floor("rate").alias("base")))
     uses = picked.join(base, "source").select("id", "source", "size", (F.col("base") + F.col("p").cast("long")).alias("uses"))
-    used = uses.groupBy("source").agg(F.sum(F.col("uses") * F.col("size")).alias("used"), F.sum("uses").alias("document_uses"), F.max("uses").alias("most_uses"))
+    used = uses.groupBy("source").agg(F.sum(F.col("uses") * F.col("size")).alias("used"), F.sum("uses").alias("document_uses"), F.max("uses").alias("most_uses"), F.min("uses").alias("least_uses"))
     report = plan.drop("rate", "blocks").join(used, "source", "left").fillna(0, ["used", "document_uses", "most_uses"])
+    spent = F.coalesce(F.col("least_uses") >= F.col("max_uses"), F.lit(True))
+    report = report.withColumn("short", spent & (F.col("used") < F.col("wanted"))).withColumn("share_of_total", F.try_divide("used", "total")).drop("least_uses")
     everything = used.agg(F.coalesce(F.sum("used"), F.lit(0)).alias("everything"))
     report = report.crossJoin(F.broadcast(everything)).withColumn("actual_share", F.try_divide("used", "everything")).drop("everything")
     return uses.withColumnRenamed("id", id_col), report

@@ -23,9 +23,9 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
-    from .split import split_oversized, uncontained_paragraphs
+    from .split import cut_paragraphs, split_oversized
 
-    return uncontained_paragraphs(*split_oversized(table(spark, folder, "chunks"), limit=900, overlap=60), 900)
+    return cut_paragraphs(*split_oversized(table(spark, folder, "chunks"), limit=900, overlap=60), 900)
 
 
 def p2_pieces(spark: SparkSession, folder: str) -> DataFrame:

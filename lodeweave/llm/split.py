@@ -27,7 +27,7 @@ def _words(text):
 
 
 def boundaries(texts: DataFrame, limit: int) -> DataFrame:
-    """(id, v, words, stops): the words of texts over the limit, and their boundaries (pos, rank: 2 paragraph, 1 sentence)."""
+    """texts over the limit with their words and boundaries, stops (pos, rank: 2 paragraph, 1 sentence)."""
     long = texts.filter(F.length("text") > 2 * limit).withColumn("words", _words("text")).filter(F.size("words") > limit)
     before, here = lambda i: F.get("words", i - 1), lambda i: F.get("words", i)
     paragraph = lambda i: before(i).rlike(PARAGRAPH_END)
@@ -62,18 +62,18 @@ def successors(marks: DataFrame, limit: int, overlap: int) -> DataFrame:
 def split_oversized(texts: DataFrame, id_col: str = "chunk_id", text_col: str = "text", *, limit: int = 900, overlap: int = 60) -> tuple[DataFrame, DataFrame]:
     """(pieces, paragraphs) of the texts with more than `limit` words; the others need no cut and give no rows.
 
-    pieces: (id, index, start_word, fresh_word, end_word, text); each has at most `limit` words and, after
+    pieces: (id, text_key, index, start_word, fresh_word, end_word, text); each has at most `limit` words and, after
     the first, begins with the last `overlap` words before fresh_word. Their fresh parts follow each other
-    without gap. paragraphs: (id, para_no, start_word, end_word).
+    without gap. paragraphs: (id, text_key, para_no, start_word, end_word).
     A word is a run of characters that aren't Unicode white space; the white space between words is kept,
     that at the ends of a piece dropped. Null ids, null and short texts give no rows; repeated rows give one result.
-    Of different texts under one id the least by (length, text) is split.
+    Different texts under one id are split each by itself; text_key, a hash of the whole text, tells them apart.
     """
     if not 0 <= overlap < limit:
         raise ValueError("overlap must be from 0 to limit - 1")
     base = texts.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("id is not null and text is not null")
-    cut = boundaries(base, limit).groupBy("id").agg(F.min(F.struct(F.length("text"), "text", "words", "stops")).alias("x"))
-    cut = materialize(cut.select("id", F.lit(0).alias("v"), "x.words", "x.stops", F.size("x.words").alias("n")), "oversized")
+    cut = boundaries(base, limit).withColumn("v", F.xxhash64("text")).groupBy("id", "v").agg(F.first(F.struct("words", "stops")).alias("x"))
+    cut = materialize(cut.select("id", "v", "x.words", "x.stops", F.size("x.words").alias("n")), "oversized")
     ends = F.concat(F.array(F.struct(F.lit(0).alias("pos"), F.lit(3).alias("rank"))), "stops", F.array(F.struct(F.col("n").alias("pos"), F.lit(2).alias("rank"))))
     marks = cut.select("id", "v", "n", F.explode(ends).alias("s")).select("id", "v", "s.pos", F.when(F.col("s.pos") == F.col("n"), 3).otherwise(F.col("s.rank")).alias("rank"), "n")
     step = materialize(successors(marks, limit, overlap), "step")
@@ -91,14 +91,14 @@ def split_oversized(texts: DataFrame, id_col: str = "chunk_id", text_col: str =
     cuts = cuts.withColumn("start_word", F.greatest(F.col("fresh_word") - overlap, F.lit(0)))
     body = F.rtrim(F.array_join(F.slice("words", F.col("start_word") + 1, F.col("end_word") - F.col("start_word")), ""))
     body = F.regexp_replace(body, r"\p{IsWhite_Space}+$", "")
-    pieces = cuts.join(cut.select("id", "v", "words"), ["id", "v"]).select(F.col("id").alias(id_col), "index", "start_word", "fresh_word", "end_word", body.alias("text"))
+    pieces = cuts.join(cut.select("id", "v", "words"), ["id", "v"]).select(F.col("id").alias(id_col), F.col("v").alias("text_key"), "index", "start_word", "fresh_word", "end_word", body.alias("text"))
     breaks = F.concat(F.array(F.lit(0)), F.transform(F.filter("stops", lambda s: s["rank"] == 2), lambda s: s["pos"]), F.array(F.col("n")))
-    paragraphs = cut.select("id", F.posexplode(F.transform(F.sequence(F.lit(1), F.size(breaks) - 1), lambda i: F.struct(F.get(breaks, i - 1).alias("start_word"), F.get(breaks, i).alias("end_word")))).alias("para_no", "p"))
-    return pieces, paragraphs.select(F.col("id").alias(id_col), "para_no", "p.*")
+    paragraphs = cut.select("id", "v", F.posexplode(F.transform(F.sequence(F.lit(1), F.size(breaks) - 1), lambda i: F.struct(F.get(breaks, i - 1).alias("start_word"), F.get(breaks, i).alias("end_word")))).alias("para_no", "p"))
+    return pieces, paragraphs.select(F.col("id").alias(id_col), F.col("v").alias("text_key"), "para_no", "p.*")
 
 
-def uncontained_paragraphs(pieces: DataFrame, paragraphs: DataFrame, limit: int, id_col: str = "chunk_id") -> DataFrame:
-    """(id, para_no) of the paragraphs over the limit that the pieces had to cut: no piece holds one whole."""
-    inside = pieces.select(id_col, F.col("start_word").alias("s"), F.col("end_word").alias("e"))
-    broken = paragraphs.join(inside.hint("merge"), (inside[id_col] == paragraphs[id_col]) & (F.col("s") <= F.col("start_word")) & (F.col("end_word") <= F.col("e")), "left_anti")
-    return broken.filter(F.col("end_word") - F.col("start_word") > limit).select(id_col, "para_no")
+def cut_paragraphs(pieces: DataFrame, paragraphs: DataFrame, limit: int, id_col: str = "chunk_id") -> DataFrame:
+    """(id, para_no) of the paragraphs over the limit, each told by a piece that begins inside of it; ids and numbers once."""
+    begun = pieces.select(id_col, "text_key", F.col("fresh_word").alias("cut"))
+    inside = paragraphs.filter(F.col("end_word") - F.col("start_word") > limit).join(begun, [id_col, "text_key"])
+    return inside.filter("start_word < cut and cut < end_word").select(id_col, "para_no").distinct()

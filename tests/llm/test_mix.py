@@ -40,6 +40,28 @@ def test_shares_and_caps(spark):
         assert report["absent"].used == 0 and abs(sum(r.actual_share for r in report.values()) - 1) < 1e-9
 
 
+def test_short_is_read_off_the_sample(spark, monkeypatch):
+    docs = [(i, f"text {i} of the small source", "small") for i in range(9)] + [(100 + i, "other words here " * 9, "big") for i in range(50)]
+    targets = [("small", 0.5, 2), ("big", 0.5, 1), ("blank", 0.1, 3), ("unwanted", 0.0, 3)]
+    docs += [(500, None, "blank"), (501, "", "blank"), (600, "x", "unwanted")]
+    assert {s for s, r in mixed(spark, docs, targets)[1].items() if r.short} == {"small", "blank"}
+    # a flight that takes nothing leaves no source short: the rows come from the sample
+    monkeypatch.setattr("lodeweave.llm.mix._fly", lambda last, seed: lambda key, rows: rows.assign(p=0.0))
+    docs = [(i, f"text {i} of the small source", "small") for i in range(9)] + docs[9:]
+    assert not mixed(spark, docs, [("big", 0.5, 1)])[1]["big"].short
+
+
+def test_null_ids_are_documents_by_their_text(spark):
+    docs = [(None, "one two three", "a"), (None, "four five six", "a"), (None, "one two three", "a"), (1, "x", "a"), (1, "x", "a")]
+    _, report = mixed(spark, docs, [("a", 1.0, 1)])
+    assert report["a"].documents == 3 and report["a"].used == report["a"].tokens == 7 and report["a"].share_of_total == 1
+
+
+def test_fractions_next_to_whole_numbers():
+    p = flight(np.full(500, 1 - 1e-12), np.arange(500.0), np.random.default_rng(1))
+    assert land(p, np.arange(500.0)).sum() == 500
+
+
 def test_empty_tables(spark):
     uses, report = mixed(spark, [], [("a", 0.5, 1)])
     assert uses == {} and report["a"].actual_share is None and not report["a"].short

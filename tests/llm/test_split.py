@@ -2,7 +2,7 @@ import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
-from lodeweave.llm.split import split_oversized, uncontained_paragraphs
+from lodeweave.llm.split import split_oversized, cut_paragraphs
 
 SCHEMA = "chunk_id string, text string, id string, v int, words string, n int"
 
@@ -13,7 +13,7 @@ def frame(spark, rows):
 
 def run(spark, rows, limit, overlap):
     pieces, paragraphs = split_oversized(frame(spark, rows), limit=limit, overlap=overlap)
-    lost = {(r[0], r[1]) for r in uncontained_paragraphs(pieces, paragraphs, limit).collect()}
+    lost = {(r[0], r[1]) for r in cut_paragraphs(pieces, paragraphs, limit).collect()}
     out = {}
     for r in pieces.orderBy("chunk_id", "index").collect():
         out.setdefault(r.chunk_id, []).append(r)
@@ -68,6 +68,25 @@ def test_dirty_rows_and_line_ends(spark):
     check(got["a"], text, 55, 5)
 
 
+def test_cases_come_from_the_pieces(spark):
+    pieces, paragraphs = split_oversized(frame(spark, [("h", "word " * 230)]), limit=70, overlap=10)
+    assert cut_paragraphs(pieces, paragraphs, 70).count() == 1
+    assert cut_paragraphs(pieces.filter("index = 0"), paragraphs, 70).count() == 0
+    assert cut_paragraphs(pieces.limit(0), paragraphs, 70).count() == 0
+
+
+def test_different_texts_of_one_id_are_all_split(spark):
+    rows = [("a", "one " * 100), ("a", "two " * 150), ("a", "one " * 100), ("a", "three")]
+    pieces, paragraphs = split_oversized(frame(spark, rows), limit=70, overlap=10)
+    got = {}
+    for r in pieces.orderBy("index").collect():
+        got.setdefault(r.text_key, []).append(r)
+    assert sorted(ps[-1].end_word for ps in got.values()) == [100, 150] and paragraphs.count() == 2
+    for ps in got.values():
+        check(ps, rows[0][1] if ps[-1].end_word == 100 else rows[1][1], 70, 10)
+    assert [tuple(r) for r in cut_paragraphs(pieces, paragraphs, 70).collect()] == [("a", 0)]
+
+
 def test_empty_table_and_bad_parameters(spark):
     pieces, paragraphs = split_oversized(frame(spark, []))
     assert pieces.count() == 0 and paragraphs.count() == 0
