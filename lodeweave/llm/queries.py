@@ -55,31 +55,35 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return often.selectExpr("a AS entity_a", "b AS entity_b")
 
 
+def _shared(spark: SparkSession, folder: str):
+    from .spans import shared_stretches
+
+    return shared_stretches(table(spark, folder, "review_findings"), "finding_id", ["text", "quote"], least=60)
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
-    from .spans import shared_spans
+    from .spans import record_pairs
 
-    pairs, _, _ = shared_spans(table(spark, folder, "review_findings"), "finding_id", ["text", "quote"], least=60)
-    return pairs.selectExpr("a AS finding_a", "b AS finding_b")
+    return record_pairs(_shared(spark, folder)).selectExpr("a AS finding_a", "b AS finding_b")
 
 
 def p5_spans(spark: SparkSession, folder: str) -> DataFrame:
     from .spans import span_classes
 
-    return span_classes(table(spark, folder, "review_findings"), "finding_id", ["text", "quote"], least=60)[0]
+    return span_classes(_shared(spark, folder))[0]
 
 
 def p5_members(spark: SparkSession, folder: str) -> DataFrame:
     """The fields of each class of equal strings in p5_spans; a class of several findings is a shared stretch, too."""
     from .spans import span_classes
 
-    return span_classes(table(spark, folder, "review_findings"), "finding_id", ["text", "quote"], least=60)[1]
+    return span_classes(_shared(spark, folder))[1]
 
 
 def p5_portions(spark: SparkSession, folder: str) -> DataFrame:
-    from .spans import shared_spans, short_fields
+    from .spans import portions, short_fields
 
-    rows, fields = table(spark, folder, "review_findings"), ["text", "quote"]
-    return shared_spans(rows, "finding_id", fields, least=60)[2].unionByName(short_fields(rows, "finding_id", fields, 60))
+    return portions(_shared(spark, folder)).unionByName(short_fields(table(spark, folder, "review_findings"), "finding_id", ["text", "quote"], 60))
 
 
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:

@@ -1,27 +1,40 @@
 """Problem 5: long exact spans shared between records, by fixed-block anchors.
 
 Strings are cut into blocks of half the wanted length that don't overlap; any shared span of that length
-holds a whole block of either string. Every rolling window probes the blocks by hash, and each hit is
-extended to the maximal exact repeat. Where a block stands in so many strings that its hits would be
-too many, windows of the whole wanted length are matched instead: those meet only where a case is.
+holds a whole block of either string. Every rolling window probes the blocks by hash, and blocks that stand
+in no other string are put aside. Around the blocks that are left hits are extended by the windows of the whole length,
+which meet exactly where a span is shared; consecutive ones are a maximal repeat. A block that stands
+in a million strings so costs a million rows, not their pairs.
+
+Only windows whose hash may be that of a block leave their task: the blocks' hashes are held in a bitmap of
+bounded size, which every task gets. Where it fills up more windows pass it; the result stays the same.
 """
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import broadcast_if_small, materialize
+from ..session import materialize
 
-#: Hits (windows x blocks) of one hash up to which they are extended one by one.
-HITS = 10_000
+#: Code points that are hashed at once.
+STEP = 1 << 19
+#: Bits of a bitmap: at least, at most, and for each block.
+BITS_LEAST, BITS_MOST, BITS_EACH = 1 << 16, 1 << 28, 32
+#: Bytes of a bitmap that travel as one row.
+PAGE = 1 << 16
+#: Records of a class that are paired in one piece.
+BLOCK = 512
+#: Factors of the two independent hashes.
+FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
-def rolling(points: np.ndarray, width: int) -> np.ndarray:
+def rolling(points: np.ndarray, width: int, factor: int = FACTORS[0]) -> np.ndarray:
     """A 64-bit hash of every window of `width` code points."""
-    mul = 0x9E3779B97F4A7C15
     part, size = (points.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93), 1
     out, done = None, 0
     left = width
@@ -32,154 +45,251 @@ def rolling(points: np.ndarray, width: int) -> np.ndarray:
                     out, done = part, size
                 else:
                     n = len(points) - done - size + 1
-                    out = out[:n] * np.uint64(pow(mul, size, 1 << 64)) + part[done : done + n]
+                    out = out[:n] * np.uint64(pow(factor, size, 1 << 64)) + part[done : done + n]
                     done += size
             left >>= 1
             if left:
-                part = part[:-size] * np.uint64(pow(mul, size, 1 << 64)) + part[size:]
+                part = part[:-size] * np.uint64(pow(factor, size, 1 << 64)) + part[size:]
                 size *= 2
-        return (out ^ (out >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        out = (out ^ (out >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        return out ^ (out >> np.uint64(32))
+
+
+def pieces(strings: list[str], block: int, least: int, step: int = STEP):
+    """(points, row, pos, room, own) of strings put together, about `step` code points at a time.
+
+    For each point: its string, its place there, how many points follow up to the end of the piece, itself
+    included, and whether a window that starts here is counted in this piece. Long strings are cut into
+    several pieces, which overlap by more than a window and a block.
+    """
+    step -= step % block
+    held: list[tuple[int, int, str]] = []
+
+    def pack():
+        size = np.array([len(s) for _, _, s in held])
+        points = np.frombuffer("".join(s for _, _, s in held).encode("utf-32-le", "surrogatepass"), np.uint32)
+        local = np.arange(len(points)) - np.repeat(np.cumsum(size) - size, size)
+        return points, np.repeat([r for r, _, _ in held], size), local + np.repeat([o for _, o, _ in held], size), np.repeat(size, size) - local, local < step
+
+    n = 0
+    for row, s in enumerate(strings):
+        for o in range(0, max(1, len(s)), step):
+            held.append((row, o, s[o : o + step + least + block]))
+            n += len(held[-1][2])
+            if n >= step:
+                yield pack()
+                held, n = [], 0
+    if held:
+        yield pack()
+
+
+def _probes(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    return (h & np.uint64(bits - 1)).astype(np.int64), ((h >> np.uint64(32)) & np.uint64(bits - 1)).astype(np.int64)
+
+
+def passes(marks: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Which hashes may be in the bitmap."""
+    one, two = ((marks[at >> 3] >> (at & 7).astype(np.uint8)) & 1 for at in _probes(h, 8 * len(marks)))
+    return (one & two).astype(bool)
 
 
-def _windows(width: int, block: int):
-    """(sid, s) to (h, sid, pos, head): every window; head marks those that are blocks."""
-    def probe(batches):
+def _pages(hashes, bits: int):
+    """Marks the hashes of a task's batches in one bitmap and sends its pages."""
+    def run(batches):
+        marks = np.zeros(bits // 8, np.uint8)
         for batch in batches:
-            for sid, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                points = np.frombuffer(s.encode("utf-32-le"), np.uint32)
-                if len(points) < width:
-                    continue
-                for at in range(0, len(points) - width + 1, 100_000):
-                    h = rolling(points[at : at + 100_000 + width - 1], width)
-                    pos = np.arange(at, at + len(h), dtype=np.int32)
-                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(len(h), sid, np.int64)), pa.array(pos), pa.array(pos % block == 0)], ["h", "sid", "pos", "head"])
+            for h in hashes(batch):
+                for at in _probes(h, bits):
+                    np.bitwise_or.at(marks, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
+        page = min(PAGE, len(marks))
+        some = np.flatnonzero(marks.reshape(-1, page).any(axis=1))
+        if len(some):
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([marks[i * page : (i + 1) * page].tobytes() for i in some], pa.binary())], ["page", "marks"])
+
+    return run
+
+
+def _bitmap(df: DataFrame, hashes, bits: int):
+    """The bitmap of the hashes of all rows, as a broadcast variable: pages are merged in tasks, bits / 8 bytes reach the driver."""
+    def merged(key, group):
+        out = np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in group.column("marks").to_pylist()])
+        return pa.table({"page": pa.array([key[0].as_py()], pa.int32()), "marks": pa.array([out.tobytes()], pa.binary())})
 
-    return probe
+    got = df.mapInArrow(_pages(hashes, bits), "page int, marks binary").groupBy("page").applyInArrow(merged, "page int, marks binary").toArrow()
+    marks, page = np.zeros(bits // 8, np.uint8), min(PAGE, bits // 8)
+    for i, x in zip(*(c.to_pylist() for c in got.columns)):
+        marks[i * page : (i + 1) * page] = np.frombuffer(x, np.uint8)
+    return df.sparkSession.sparkContext.broadcast(marks)
 
 
-def _packed(probe, rows: int = 50_000):
-    """Joins the small batches of a generator into larger ones."""
+def _heads(block: int, least: int):
+    """(n, s) batches to the hashes of the blocks."""
+    def hashes(batch):
+        for points, _, pos, room, own in pieces(batch.column(1).to_pylist(), block, least):
+            if len(points) >= block:
+                yield rolling(points, block)[np.flatnonzero((pos % block == 0) & (room >= block) & own)]
+
+    return hashes
+
+
+def _hits(block: int, least: int, blocks):
+    """(n, s) to (h, n, head): the blocks of every string, and its windows that may be blocks, each hash once a piece."""
     def run(batches):
-        held, n = [], 0
-        for b in probe(batches):
-            held.append(b)
-            n += b.num_rows
-            if n >= rows:
-                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-                held, n = [], 0
-        if held:
-            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+        marks = blocks.value
+        for batch in batches:
+            names = batch.column(0).to_numpy()
+            for points, row, pos, room, own in pieces(batch.column(1).to_pylist(), block, least):
+                if len(points) < block:
+                    continue
+                h = rolling(points, block)
+                at = np.flatnonzero((room >= block)[: len(h)] & own[: len(h)])
+                at = at[passes(marks, h[at])]
+                head = pos[at] % block == 0
+                by = np.lexsort((~head, h[at], row[at]))
+                at, head = at[by], head[by]
+                fresh = np.r_[True, (row[at][1:] != row[at][:-1]) | (h[at][1:] != h[at][:-1])][: len(at)]
+                at, head = at[fresh], head[fresh]
+                yield pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), pa.array(names[row[at]]), pa.array(head)], ["h", "n", "head"])
 
     return run
 
 
-def _extend(a: str, i: int, b: str, j: int) -> tuple[int, int, int]:
-    """The maximal exact repeat through a[i] and b[j]: starts in both, and length (0 where they differ)."""
-    lo, hi = 0, min(len(a) - i, len(b) - j)
-    while lo < hi:
-        mid = (lo + hi + 1) // 2
-        lo, hi = (mid, hi) if a[i : i + mid] == b[j : j + mid] else (lo, mid - 1)
-    right, lo, hi = lo, 0, min(i, j)
-    while lo < hi:
-        mid = (lo + hi + 1) // 2
-        lo, hi = (mid, hi) if a[i - mid : i] == b[j - mid : j] else (lo, mid - 1)
-    return i - lo, j - lo, lo + right
+def _grams(block: int, least: int, shared):
+    """(n, s, lo, hi) to (g, g2, n, pos, fresh, lo, hi): the windows of the whole length in which every block may stand in another
+    string; fresh marks the first place of each in its string."""
+    def run(batches):
+        marks = shared.value
+        for batch in batches:
+            found = []
+            for points, row, pos, room, own in pieces(batch.column(1).to_pylist(), block, least):
+                if len(points) < least:
+                    continue
+                h, bad = rolling(points, block), np.zeros(len(points), np.int64)
+                heads = np.flatnonzero((pos % block == 0) & (room >= block))
+                bad[heads] = ~passes(marks, h[heads])
+                count = np.r_[0, np.cumsum(bad)]
+                at = np.flatnonzero((room >= least) & own)
+                at = at[count[at + least - block + 1] == count[at]]
+                if len(at):
+                    found.append((row[at], pos[at], *(rolling(points, least, f)[at] for f in FACTORS)))
+            if not found:
+                continue
+            row, pos, g, g2 = (np.concatenate(x) for x in zip(*found))
+            by = np.lexsort((pos, g2, g, row))
+            row, pos, g, g2 = row[by], pos[by], g[by], g2[by]
+            fresh = np.r_[True, (row[1:] != row[:-1]) | (g[1:] != g[:-1]) | (g2[1:] != g2[:-1])]
+            take = pa.array(row)
+            yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(g2.view(np.int64)), batch.column(0).take(take), pa.array(pos.astype(np.int32)), pa.array(fresh), batch.column(2).take(take), batch.column(3).take(take)], ["g", "g2", "n", "pos", "fresh", "lo", "hi"])
 
+    return run
 
-def _repeat(*columns: str | Column) -> Column:
-    @F.arrow_udf("struct<a:int,b:int,n:int>")
-    def extended(a: pa.Array, i: pa.Array, b: pa.Array, j: pa.Array) -> pa.Array:
-        got = [_extend(*x) for x in zip(a.to_pylist(), i.to_pylist(), b.to_pylist(), j.to_pylist())]
-        return pa.StructArray.from_arrays([pa.array([g[k] for g in got], pa.int32()) for k in range(3)], ["a", "b", "n"])
 
-    return extended(*columns)
+def _runs(least: int):
+    @F.arrow_udf("array<struct<start:int,length:int,c1:bigint,c2:bigint>>")
+    def runs(places: pa.Array) -> pa.Array:
+        """Consecutive windows of one class as one stretch."""
+        flat = places.flatten()
+        row = np.repeat(np.arange(len(places)), places.value_lengths().to_numpy())
+        pos, c1, c2 = (flat.field(k).to_numpy() for k in range(3))
+        by = np.lexsort((pos, row))
+        row, pos, c1, c2 = row[by], pos[by], c1[by], c2[by]
+        new = np.r_[True, (row[1:] != row[:-1]) | (pos[1:] != pos[:-1] + 1) | (c1[1:] != c1[:-1]) | (c2[1:] != c2[:-1])][: len(row)]
+        first = np.flatnonzero(new)
+        last = np.r_[first[1:], len(row)][: len(first)] - 1
+        made = pa.StructArray.from_arrays([pa.array(x) for x in (pos[first].astype(np.int32), (pos[last] - pos[first] + least).astype(np.int32), c1[first], c2[first])], ["start", "length", "c1", "c2"])
+        return pa.ListArray.from_arrays(pa.array(np.searchsorted(row[first], np.arange(len(places) + 1)).astype(np.int32)), made)
 
+    return runs
 
-def held_strings(records: DataFrame, id_col: str, fields: list[str], least: int) -> DataFrame:
-    """(sid, sid2, s, id, field) of every field of at least `least` code points; (sid, sid2) stands for the string s."""
-    each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("s")) for f in fields])).alias("x")
-    rows = records.select(F.col(id_col).alias("id"), each).select("id", "x.field", "x.s").filter(F.col("id").isNotNull() & (F.length("s") >= least))
-    return rows.select(F.xxhash64("s").alias("sid"), F.xxhash64(F.lit(1), "s").alias("sid2"), "s", "id", "field").distinct()
 
+class Shared(NamedTuple):
+    """strings: (n, s, lo, hi, rep) of every different field of at least `least` code points, lo and hi its least and greatest
+    record, rep its least (id, field); holders: (n, id, field, length); runs: (n, runs) with the stretches of a string
+    (start, length, c1, c2) that strings of other records hold, of which (c1, c2) names the set."""
 
-def repeats(strings: DataFrame, least: int) -> DataFrame:
-    """(sid_a, sid2_a, start_a, sid_b, sid2_b, start_b, length): maximal exact repeats of different strings, each once per ordered pair.
+    strings: DataFrame
+    holders: DataFrame
+    runs: DataFrame
 
-    strings: (sid, sid2, s), each string once.
-    """
-    block = (least + 1) // 2
-    probe = strings.select("sid", "s").mapInArrow(_packed(_windows(block, block)), "h long, sid long, pos int, head boolean")
-    shared = probe.groupBy("h").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi"), F.count_if("head").alias("heads"), F.count(F.lit(1)).alias("n"))
-    shared = shared.filter("lo < hi and heads > 0").select("h", (F.col("heads") * F.col("n") > HITS).alias("hot"))
-    shared = materialize(shared, "shared")
-    hits = materialize(probe.join(broadcast_if_small(shared), "h"), "hits")
-    heads, every = hits.filter("head and not hot"), hits.filter("not hot")
-    pairs = heads.selectExpr("h", "sid sid_a", "pos pos_a").join(every.selectExpr("h", "sid sid_b", "pos pos_b"), "h")
-    hot = hits.filter("hot").select("sid", "pos")
-    if not hot.isEmpty():
-        pairs = pairs.drop("h").unionByName(_hot_pairs(strings, hot, block, least))
-    pairs = pairs.filter("sid_a <> sid_b").withColumn("diagonal", F.col("pos_a") - F.col("pos_b"))
-    # hits of one diagonal stand for the same repeat unless they are apart: one for each stretch of blocks
-    anchors = pairs.groupBy("sid_a", "sid_b", "diagonal", F.floor(F.col("pos_a") / block).alias("at")).agg(F.min("pos_a").alias("pos_a"))
-    texts = lambda side: strings.select(F.col("sid").alias(f"sid_{side}"), F.col("sid2").alias(f"sid2_{side}"), F.col("s").alias(f"s_{side}"))
-    full = anchors.join(texts("a"), "sid_a").join(texts("b"), "sid_b").withColumn("r", _repeat("s_a", "pos_a", "s_b", F.col("pos_a") - F.col("diagonal")))
-    one = full.filter(F.col("r.n") >= least).select("sid_a", "sid2_a", F.col("r.a").alias("start_a"), "sid_b", "sid2_b", F.col("r.b").alias("start_b"), F.col("r.n").alias("length"))
-    swap = [F.col(c).alias(c if c == "length" else c[:-1] + ("b" if c.endswith("a") else "a")) for c in one.columns]
-    return one.unionByName(one.select(*swap)).distinct()
-
-
-def _hot_pairs(strings: DataFrame, hot: DataFrame, block: int, least: int) -> DataFrame:
-    """Places of equal windows of `least` code points that hold a hot window; only true cases meet."""
-    near = hot.select("sid", F.explode(F.sequence(F.greatest(F.col("pos") - (least - block), F.lit(0)), F.col("pos"))).alias("pos")).distinct()
-    grams = strings.join(near, "sid").filter(F.col("pos") + least <= F.length("s")).select("sid", "pos", F.substring("s", F.col("pos") + 1, F.lit(least)).alias("g"))
-    grams = materialize(grams.select("sid", "pos", F.xxhash64("g").alias("g"), F.xxhash64(F.lit(1), "g").alias("g2")), "grams")
-    a = grams.selectExpr("g", "g2", "sid sid_a", "pos pos_a")
-    return a.join(grams.selectExpr("g", "g2", "sid sid_b", "pos pos_b"), ["g", "g2"]).filter("sid_a < sid_b").select("sid_a", "pos_a", "sid_b", "pos_b")
-
-
-def shared_spans(records: DataFrame, id_col: str, fields: list[str], *, least: int = 60) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(pairs, spans, portions) of records that share `least` or more consecutive code points within one field each.
-
-    pairs: (a, b), a < b, once each. spans: (id_a, field_a, start_a, id_b, field_b, start_b, length), the maximal
-    repeats between different records, both ways round. portions: (id, field, length, shared) for every
-    field of at least `least` code points: how many of its code points stand in some other record.
+
+def shared_stretches(records: DataFrame, id_col: str, fields: list[str], *, least: int = 60) -> Shared:
+    """The stretches of `least` or more consecutive code points that different records share within one field each.
+
+    A stretch ends where the set of strings that hold its windows changes, so it is a maximal exact repeat of that set.
     Null ids, null and shorter fields share nothing; repeated rows change nothing; other columns are left out.
+    Windows of the whole length are compared by two independent hashes, 128 bits together.
     """
-    holders = materialize(held_strings(records, id_col, fields, least), "strings")
-    strings = materialize(holders.select("sid", "sid2", "s").distinct(), "distinct")
-    found = materialize(repeats(strings, least), "repeats")
-    slim = holders.select("sid", "sid2", "id", "field", F.length("s").alias("size"))
-    side = lambda x: slim.select(*[F.col(c).alias(f"{c}_{x}") for c in ("sid", "sid2", "id", "field", "size")])
-    linked = found.select("sid_a", "sid2_a", "sid_b", "sid2_b").filter("sid_a < sid_b or (sid_a = sid_b and sid2_a < sid2_b)").distinct()
-    ids = lambda x: slim.select(F.col("sid").alias(f"sid_{x}"), F.col("sid2").alias(f"sid2_{x}"), F.col("id").alias(f"id_{x}")).distinct()
-    other = linked.join(ids("a"), ["sid_a", "sid2_a"]).join(ids("b"), ["sid_b", "sid2_b"]).select("id_a", "id_b")
-    same = ids("a").join(ids("a").withColumnRenamed("id_a", "id_b"), ["sid_a", "sid2_a"]).select("id_a", "id_b")
-    pairs = other.unionByName(same).filter("id_a <> id_b").select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
-    whole = side("a").join(side("b").drop("size_b"), (F.col("sid_a") == F.col("sid_b")) & (F.col("sid2_a") == F.col("sid2_b"))).select("id_a", "field_a", F.lit(0).alias("start_a"), "id_b", "field_b", F.lit(0).alias("start_b"), F.col("size_a").alias("length"))
-    cut = found.join(side("a").drop("size_a"), ["sid_a", "sid2_a"]).join(side("b").drop("size_b"), ["sid_b", "sid2_b"]).select("id_a", "field_a", "start_a", "id_b", "field_b", "start_b", "length")
-    spans = cut.unionByName(whole).filter("id_a <> id_b")
-    return pairs, spans, _portions(slim, found)
-
-
-def span_classes(records: DataFrame, id_col: str, fields: list[str], *, least: int = 60) -> tuple[DataFrame, DataFrame]:
-    """(spans, members): the spans of shared_spans with each class of equal strings told once, by its least holder.
+    each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("s")) for f in fields])).alias("x")
+    rows = records.select(F.col(id_col).alias("id"), each).select("id", "x.field", "x.s").filter(F.col("id").isNotNull() & (F.length("s") >= least))
+    keyed = rows.select(F.xxhash64("s").alias("k1"), F.xxhash64(F.lit(1), "s").alias("k2"), "s", "id", "field")
+    once = keyed.groupBy("k1", "k2").agg(F.first("s").alias("s"), F.min("id").alias("lo"), F.max("id").alias("hi"), F.min(F.struct("id", "field")).alias("rep"))
+    strings = materialize(once.withColumn("n", F.monotonically_increasing_id()), "strings")
+    holders = keyed.drop("s").join(strings.select("k1", "k2", "n", F.length("s").alias("length")), ["k1", "k2"]).select("n", "id", "field", "length").distinct()
 
+    block = (least + 1) // 2
+    kind = strings.schema["lo"].dataType.simpleString()
+    text = strings.select("n", "s", "lo", "hi")
+    size = strings.agg(F.coalesce(F.sum(F.length("s")), F.lit(0))).first()[0] // block
+    bits = min(BITS_MOST, max(BITS_LEAST, 1 << (BITS_EACH * size).bit_length()))
+    blocks = _bitmap(text, _heads(block, least), bits)
+    hits = text.select("n", "s").mapInArrow(_hits(block, least, blocks), "h long, n long, head boolean")
+    met = hits.groupBy("h").agg(F.min("n").alias("first"), F.max("n").alias("last"), F.max("head").alias("head")).filter("first < last and head")
+    shared = _bitmap(met.select("h"), lambda batch: [batch.column(0).to_numpy().view(np.uint64)], bits)
+    grams = text.mapInArrow(_grams(block, least, shared), f"g long, g2 long, n long, pos int, fresh boolean, lo {kind}, hi {kind}")
+    grams = materialize(grams, "grams")
+    name = lambda seed: F.bit_xor(F.when(F.col("fresh"), F.xxhash64(F.lit(seed), "n")))
+    sets = grams.groupBy("g", "g2").agg(F.min("n").alias("first"), F.max("n").alias("last"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), name(1).alias("c1"), name(2).alias("c2"))
+    sets = sets.filter("first < last and lo < hi").select("g", "g2", "c1", "c2")
+    places = grams.select("g", "g2", "n", "pos").join(sets, ["g", "g2"]).groupBy("n").agg(F.collect_list(F.struct("pos", "c1", "c2")).alias("places"))
+    return Shared(strings, holders, materialize(places.select("n", _runs(least)("places").alias("runs")), "runs"))
+
+
+def record_pairs(found: Shared) -> DataFrame:
+    """(a, b), a < b: each pair of records that share a stretch, once.
+
+    Records are gathered by class, the set of strings that hold a window; a class is paired in blocks, so that a
+    large one is spread over many tasks.
+    """
+    sets = found.runs.select("n", F.explode("runs").alias("r")).select("r.c1", "r.c2", "n").distinct()
+    ids = found.holders.select("n", "id").distinct()
+    many = found.strings.filter("lo < hi").select(F.col("n").alias("c1"), F.lit(None).cast("long").alias("c2"), "n")
+    members = sets.unionByName(many).join(ids, "n").select(F.xxhash64("c1", F.coalesce("c2", F.lit(0))).alias("k1"), F.xxhash64(F.lit(1), "c1", F.coalesce("c2", F.lit(0))).alias("k2"), "id").distinct()
+    members = materialize(members, "members")
+    parts = members.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("k1", "k2", F.ceil(F.col("size") / BLOCK).cast("int").alias("parts"))
+    blocks = members.join(parts, ["k1", "k2"]).groupBy("k1", "k2", "parts", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("x")).agg(F.collect_list("id").alias("xs"))
+    # every block goes to the pairs of blocks it is part of
+    at = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    sent = blocks.withColumn("y", at).select("k1", "k2", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "x", "xs")
+    side = lambda c: F.flatten(F.collect_list(F.when(F.col("x") == F.col(c), F.col("xs"))))
+    met = sent.groupBy("k1", "k2", "i", "j").agg(side("i").alias("as"), side("j").alias("bs"))
+    both = met.select("i", "j", F.explode("as").alias("a"), "bs").select("i", "j", "a", F.explode("bs").alias("b")).filter("i < j or a < b")
+    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def span_classes(found: Shared) -> tuple[DataFrame, DataFrame]:
+    """(spans, members) with each class of equal fields told once, by its least holder.
+
+    spans: (stretch, rep_id, rep_field, start, length): every stretch with each class that holds it; stretch is the hash of its text.
     members: (rep_id, rep_field, id, field, length) for every field of a string that shares a stretch with another
-    record; a class of several records is itself a shared stretch, the whole string. spans: (rep_id_a, rep_field_a, start_a,
-    rep_id_b, rep_field_b, start_b, length), the maximal repeats between different classes, both ways round, without
-    those held by one record alone. All of shared_spans' rows follow by joining members to either side.
+    record; a class of several records is itself a shared stretch, the whole string.
     """
-    holders = materialize(held_strings(records, id_col, fields, least), "strings")
-    found = materialize(repeats(materialize(holders.select("sid", "sid2", "s").distinct(), "distinct"), least), "repeats")
-    slim = holders.select("sid", "sid2", "id", "field", F.length("s").alias("length"))
-    reps = slim.groupBy("sid", "sid2").agg(F.min(F.struct("id", "field")).alias("rep"), F.min("id").alias("lo"), F.max("id").alias("hi"))
-    side = lambda x: reps.select(*[F.col(c).alias(f"{c}_{x}") for c in reps.columns])
-    cut = found.join(side("a"), ["sid_a", "sid2_a"]).join(side("b"), ["sid_b", "sid2_b"]).filter("least(lo_a, lo_b) <> greatest(hi_a, hi_b)")
-    cut = materialize(cut, "cut")
-    spans = cut.select(F.col("rep_a.id").alias("rep_id_a"), F.col("rep_a.field").alias("rep_field_a"), "start_a", F.col("rep_b.id").alias("rep_id_b"), F.col("rep_b.field").alias("rep_field_b"), "start_b", "length")
-    linked = cut.select(F.col("sid_a").alias("sid"), F.col("sid2_a").alias("sid2")).unionByName(reps.filter("lo <> hi").select("sid", "sid2")).distinct()
-    members = slim.join(reps.join(linked, ["sid", "sid2"]), ["sid", "sid2"])
-    return spans, members.select(F.col("rep.id").alias("rep_id"), F.col("rep.field").alias("rep_field"), "id", "field", "length")
+    texts = found.runs.join(found.strings, "n")
+    cut = texts.select("s", "rep", F.explode("runs").alias("r"))
+    spans = cut.select(F.substring(F.sha2(F.substring("s", F.col("r.start") + 1, F.col("r.length")), 256), 1, 32).alias("stretch"), F.col("rep.id").alias("rep_id"), F.col("rep.field").alias("rep_field"), "r.start", "r.length")
+    held = found.strings.join(found.runs.select("n", F.lit(True).alias("in")), "n", "left").filter("in or lo < hi").select("n", "rep")
+    members = found.holders.join(held, "n").select(F.col("rep.id").alias("rep_id"), F.col("rep.field").alias("rep_field"), "id", "field", "length")
+    return spans, members
+
+
+def portions(found: Shared) -> DataFrame:
+    """(id, field, length, shared) for every field of at least `least` code points: how many of its code points stand in a
+    stretch that some other record holds, too."""
+    zero = F.struct(F.lit(0).alias("sum"), F.lit(0).alias("end"))
+    stop = lambda r: r["start"] + r["length"]
+    union: Column = F.aggregate("runs", zero, lambda acc, r: F.struct((acc["sum"] + F.greatest(stop(r) - F.greatest(acc["end"], r["start"]), F.lit(0))).alias("sum"), F.greatest(acc["end"], stop(r)).alias("end")), lambda acc: acc["sum"])
+    covered = found.strings.select("n", (F.col("lo") < F.col("hi")).alias("many")).join(found.runs.select("n", union.alias("sum")), "n", "left")
+    rows = found.holders.join(covered, "n")
+    return rows.select("id", "field", "length", F.when(F.col("many"), F.col("length")).otherwise(F.coalesce("sum", F.lit(0))).alias("shared"))
 
 
 def short_fields(records: DataFrame, id_col: str, fields: list[str], least: int) -> DataFrame:
@@ -187,18 +297,3 @@ def short_fields(records: DataFrame, id_col: str, fields: list[str], least: int)
     each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.length(F.col(f).cast("string")).alias("length")) for f in fields])).alias("x")
     rows = records.select(F.col(id_col).alias("id"), each).select("id", "x.field", "x.length").filter(F.col("id").isNotNull() & (F.col("length") < least))
     return rows.distinct().withColumn("shared", F.lit(0))
-
-
-def _portions(slim: DataFrame, found: DataFrame) -> DataFrame:
-    """Union of the shared stretches of each string, told apart by whether another record holds the other side."""
-    held = slim.groupBy("sid", "sid2").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
-    partners = found.join(held.withColumnsRenamed({"sid": "sid_b", "sid2": "sid2_b"}), ["sid_b", "sid2_b"])
-    # a stretch's partners are told by the least and the greatest record that hold one
-    stretch = partners.groupBy(F.col("sid_a").alias("sid"), F.col("sid2_a").alias("sid2"), F.col("start_a").alias("start"), F.col("length").alias("n")).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    by_string = stretch.groupBy("sid", "sid2").agg(F.array_sort(F.collect_list(F.struct("start", (F.col("start") + F.col("n")).alias("end"), "lo", "hi"))).alias("x"))
-    rows = slim.join(held.withColumnsRenamed({"lo": "own_lo", "hi": "own_hi"}), ["sid", "sid2"]).join(by_string, ["sid", "sid2"], "left")
-    foreign: Column = F.filter(F.coalesce("x", F.array().cast("array<struct<start:int,end:int,lo:bigint,hi:bigint>>")), lambda s: (s["lo"] != F.col("id")) | (s["hi"] != F.col("id")))
-    zero = F.struct(F.lit(0).alias("sum"), F.lit(0).alias("end"))
-    union = F.aggregate(foreign, zero, lambda acc, s: F.struct((acc["sum"] + F.greatest(s["end"] - F.greatest(acc["end"], s["start"]), F.lit(0))).alias("sum"), F.greatest(acc["end"], s["end"]).alias("end")), lambda acc: acc["sum"])
-    shared = F.when(F.col("own_lo") < F.col("own_hi"), F.col("size")).otherwise(union)
-    return rows.select("id", "field", F.col("size").alias("length"), shared.alias("shared"))
