@@ -41,17 +41,21 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return found.selectExpr("doc AS pmcid", "item AS item_id")
 
 
-def p4_pairs(spark: SparkSession, folder: str) -> DataFrame:
+def _together(spark: SparkSession, folder: str, least: int) -> DataFrame:
     from pyspark.sql import functions as F
 
     from .together import together
 
-    return together(table(spark, folder, "chunk_extractions"), "chunk_id", F.col("entities.name"), least=1)
+    return together(table(spark, folder, "chunk_extractions"), "chunk_id", F.col("entities.name"), least=least)
+
+
+def p4_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    return _together(spark, folder, 1)
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """Counts times N are compared as whole numbers, in decimals that can't overflow."""
-    often = p4_pairs(spark, folder).filter("n_ab >= 8").filter("CAST(n_ab AS DECIMAL(38,0)) * n >= CAST(10 AS DECIMAL(38,0)) * CAST(n_a AS DECIMAL(18,0)) * CAST(n_b AS DECIMAL(18,0))")
+    often = _together(spark, folder, 8).filter("CAST(n_ab AS DECIMAL(38,0)) * n >= CAST(10 AS DECIMAL(38,0)) * CAST(n_a AS DECIMAL(18,0)) * CAST(n_b AS DECIMAL(18,0))")
     return often.selectExpr("a AS entity_a", "b AS entity_b")
 
 
