@@ -1,10 +1,11 @@
 """Problem 3: passages of held-out evaluation texts in a training corpus, by a positional inverted index.
 
-Texts become normalised words. Postings (term, document, position, the words around) are kept of the
+Texts become normalised words. Postings (document, position, term with the words on one side of it) are kept of the
 terms that are the rarest of some test window, counted over the whole corpus; they meet the positions
 these terms have in the test items, and the lists are intersected outwards from there, one offset at a
 time, until the shared run of words ends. Every window of `window` words holds its rarest term, so no
-exact passage is missed, and stop words are never posted.
+exact passage is missed, and stop words are never posted. A term met with its neighbours is no hot key
+unless the passage itself stands everywhere.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import broadcast_if_small, materialize
+from ..session import BROADCAST_ROWS, broadcast_if_small, materialize
 
 ASCII_WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
@@ -39,7 +40,7 @@ def normal_words(text: str | None) -> str | None:
     return other.sub(" ", unicodedata.normalize("NFKC", drop.sub("", text)).lower()).strip()
 
 
-def _normal(text: str) -> Column:
+def _normal(text: Column) -> Column:
     @F.arrow_udf("string")
     def words(texts: pa.Array) -> pa.Array:
         return pa.array(map(normal_words, texts.to_pylist()), pa.string())
@@ -47,31 +48,46 @@ def _normal(text: str) -> Column:
     return words(text)
 
 
-def _around(words: Column, pos: Column, reach: int) -> list[Column]:
-    """Up to `reach` words before (nearest first) and after the word at pos (from 0)."""
-    before = F.reverse(F.slice(words, F.greatest(pos - reach + 1, F.lit(1)), F.least(pos, F.lit(reach))))
-    return [before.alias("before"), F.slice(words, pos + 2, F.lit(reach)).alias("after")]
+def normalised(text: Column) -> Column:
+    """normal_words of a text; ASCII texts stay in the JVM."""
+    ascii_ = F.octet_length(text) == F.length(text)
+    plain = F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "))
+    return F.when(ascii_, plain).otherwise(_normal(F.when(~ascii_, text)))
 
 
-def _run(a: str, b: str) -> Column:
+def _before(words: Column, pos: Column, reach: int | Column) -> Column:
+    """Up to `reach` words before the word at pos (from 0), the nearest first."""
+    return F.reverse(F.slice(words, F.greatest(pos - reach + 1, F.lit(1)), F.least(pos, F.lit(reach) if isinstance(reach, int) else reach)))
+
+
+def _after(words: Column, pos: Column, reach: int | Column) -> Column:
+    return F.slice(words, pos + 2, F.lit(reach) if isinstance(reach, int) else reach)
+
+
+def _run(a: Column, b: Column) -> Column:
     """How many elements of two arrays agree from the start."""
     same = F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False)))
     first = F.array_position(same, False)
     return F.when(first == 0, F.size(same)).otherwise(first - 1)
 
 
+def _phrases(words: Column, pos: Column, half: int) -> Column:
+    """Hashes of the word at pos with the `half` words before it and with those behind it, where there are so many."""
+    sides = [F.when(F.size(x) == half, F.xxhash64(F.lit(i), F.get(words, pos), x)) for i, x in enumerate((_before(words, pos, half), _after(words, pos, half)))]
+    return F.array_compact(F.array(*sides))
+
+
 def leaked_passages(corpus: DataFrame, items: DataFrame, doc_col: str, text_col: str, item_col: str, item_text_col: str, *, window: int = 12, near: int | None = None) -> DataFrame:
     """(doc, item, words): the documents holding `window` or more consecutive words of an item, and the longest run found.
 
-    The run is counted up to window - 1 words to either side of an anchor. With `near`, a proximity
-    match counts too: at least `window` words of the item stand at their offsets within `near` words of
-    an anchor, though others between them differ; it is then `words`. Null documents, null item ids and
+    With `near`, a proximity match counts too: at least `window` words of the item stand at their offsets within `near`
+    words of an anchor, though others between them differ; where that is more than the run it is `words`. The anchor itself, the
+    rarest word of a window of the item that the corpus has, must stand there. Null documents, null item ids and
     null, empty or short texts match nothing; repeated rows change nothing. Other columns are left out.
     """
-    reach = max(window - 1, near or 0)
-    text = corpus.select(F.col(doc_col).alias("doc"), _normal(text_col).alias("norm")).filter("doc is not null and norm <> ''")
-    text = materialize(text, "words").select("doc", F.split("norm", " ").alias("words"))
-    test = items.select(F.col(item_col).alias("item"), _normal(item_text_col).alias("norm")).distinct().select("item", F.split("norm", " ").alias("words"))
+    text = corpus.select(F.col(doc_col).alias("doc"), normalised(F.col(text_col)).alias("norm")).filter("doc is not null and norm <> ''")
+    text = materialize(text.withColumn("n", F.monotonically_increasing_id()), "words").select("n", "doc", F.split("norm", " ").alias("words"))
+    test = items.select(F.col(item_col).alias("item"), normalised(F.col(item_text_col)).alias("norm")).distinct().select("item", F.split("norm", " ").alias("words"))
     test = materialize(test.filter(F.col("item").isNotNull() & (F.size("words") >= window)).withColumn("v", F.xxhash64("words")), "tests")
 
     places = test.select("item", "v", F.size("words").alias("n"), F.posexplode("words").alias("pos", "term"))
@@ -82,21 +98,24 @@ def leaked_passages(corpus: DataFrame, items: DataFrame, doc_col: str, text_col:
     seen = F.col("df").isNotNull() if near is not None else F.lit(True)
     rarest = places.join(broadcast_if_small(materialize(counts, "counts")), "term", "left").withColumn("rarest", F.min(F.when(seen, F.struct(F.coalesce("df", F.lit(0)).alias("df"), "pos"))).over(ahead))
     anchors = rarest.filter(F.col("pos") + window <= F.col("n")).select("item", "v", "rarest.*").filter("df > 0").select("item", "v", "pos").distinct()
-    anchors = anchors.join(test, ["item", "v"]).select("item", F.get("words", "pos").alias("term"), *_around(F.col("words"), F.col("pos"), reach))
-    anchors = materialize(anchors.withColumnsRenamed({"before": "item_before", "after": "item_after"}), "anchors")
-
-    small = anchors.limit(200_001).count() <= 200_000
-    tokens = text.select("doc", "words", F.posexplode("words").alias("pos", "term"))
-    context = ["doc", "term", *_around(F.col("words"), F.col("pos"), reach)]
-    if small:  # the words around are cut out of the few rows that meet an anchor
-        met = tokens.join(F.broadcast(anchors), "term").select(*context, "item", "item_before", "item_after")
-    else:
-        met = tokens.select(*context).join(anchors, "term")
-    if near is None:  # of a run as long as the window half stands on one side of its anchor
-        met = met.filter(" OR ".join(f"slice({a}, 1, {window // 2}) = slice(item_{a}, 1, {window // 2}) AND size({a}) >= {window // 2}" for a in ("before", "after")))
-    run = F.lit(1) + F.least(_run("before", "item_before"), F.lit(window - 1)) + F.least(_run("after", "item_after"), F.lit(window - 1))
+    anchors = materialize(anchors.join(test, ["item", "v"]).select("item", "v", F.col("pos").alias("at"), F.get("words", "pos").alias("term"), F.col("words").alias("item_words")), "anchors")
+
+    # of a run as long as the window half stands on one side of its anchor: postings are met by anchor and half
+    keys = (lambda words, pos: _phrases(words, pos, window // 2)) if near is None else (lambda words, pos: F.array(F.xxhash64(F.get(words, pos))))
+    asked = anchors.select("item", "v", "at", F.explode(keys(F.col("item_words"), F.col("at"))).alias("key"))
+    tokens = text.select("n", "words", F.posexplode("words").alias("pos", "term"))
+    posted = anchors.select("term").distinct()
+    if posted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:  # phrases are made of the few postings that are kept
+        postings = tokens.join(F.broadcast(posted), "term", "left_semi").select("n", "pos", F.explode(keys(F.col("words"), F.col("pos"))).alias("key"))
+    else:  # the words around don't travel
+        postings = tokens.select("n", "pos", "term", keys(F.col("words"), F.col("pos")).alias("keys")).join(posted, "term", "left_semi").select("n", "pos", F.explode("keys").alias("key"))
+    met = postings.join(broadcast_if_small(asked), "key").select("n", "pos", "item", "v", "at").distinct()
+    met = materialize(met, "met")
+    full = text.join(broadcast_if_small(met), "n").join(broadcast_if_small(test.withColumnRenamed("words", "item_words")), ["item", "v"])
+    w, iw, size = F.col("words"), F.col("item_words"), F.size("item_words")
+    run = F.lit(1) + _run(_before(w, F.col("pos"), size), _before(iw, F.col("at"), size)) + _run(_after(w, F.col("pos"), size), _after(iw, F.col("at"), size))
     if near is not None:
-        agree = [F.size(F.filter(F.zip_with(F.slice(a, 1, near), F.slice(f"item_{a}", 1, near), lambda x, y: x == y), lambda x: F.coalesce(x, F.lit(False)))) for a in ("before", "after")]
+        agree = [F.size(F.filter(F.zip_with(cut(w, F.col("pos"), near), cut(iw, F.col("at"), near), lambda x, y: x == y), lambda x: F.coalesce(x, F.lit(False)))) for cut in (_before, _after)]
         run = F.greatest(run, F.lit(1) + agree[0] + agree[1])
     # the filter stands after the aggregate, else it would move into the join and end its code generation
-    return met.select("doc", "item", run.alias("words")).groupBy("doc", "item").agg(F.max("words").alias("words")).filter(F.col("words") >= window)
+    return full.select("doc", "item", run.alias("words")).groupBy("doc", "item").agg(F.max("words").alias("words")).filter(F.col("words") >= window)

@@ -2,6 +2,9 @@ import random
 import re
 import unicodedata
 
+from pyspark.sql import functions as F
+
+import lodeweave.llm.leak as leak
 from lodeweave.llm.leak import leaked_passages, normal_words
 
 WORD = re.compile(r"[^\W_]+")
@@ -66,6 +69,27 @@ def test_proximity(spark):
     assert run(spark, [("D", changed)], [(1, item)], window=12, near=19) == {("D", 1)}
 
 
+def test_longest_run_is_told_whole(spark):
+    item = " ".join(f"t{i}" for i in range(80))
+    c = spark.createDataFrame([("D", "x " + " ".join(f"t{i}" for i in range(7, 64)) + " y"), ("E", item), ("F", item.replace("t40", "z"))], "d string, t string")
+    i = spark.createDataFrame([(1, item)], "i long, u string")
+    assert {r.doc: r.words for r in leaked_passages(c, i, "d", "t", "i", "u").collect()} == {"D": 57, "E": 80, "F": 40}
+
+
+def test_many_terms_that_are_not_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(leak, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(leak, "broadcast_if_small", lambda df: df)
+    phrase = "all data are in the supplement of this paper and can be had on request"
+    corpus = [(f"D{i}", "before " * (i % 4) + phrase + " after" if i % 3 == 0 else f"nothing here {i}") for i in range(30)]
+    assert run(spark, corpus, [(1, phrase), (2, "x " + phrase)], window=12) == brute(corpus, [(1, phrase), (2, "x " + phrase)], 12)
+
+
+def test_words_of_ascii_texts_in_the_jvm(spark):
+    texts = ["Don't STOP_here", "", "  \t", "a_b\x00c\x7f1", "\u0130x", "caf\u00e9 2\u00b2", "-"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", leak.normalised(F.col("t")).alias("w")).collect()
+    assert all(r.w.split() == words(r.t) for r in rows)
+
+
 def test_empty_tables(spark):
     assert run(spark, [], [(1, "a b c")]) == set()
     assert run(spark, [("D", "a b c")], []) == set()
