@@ -21,7 +21,14 @@ from pyspark.sql import functions as F
 
 from ..session import BROADCAST_ROWS, broadcast_if_small, materialize
 
-ASCII_WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
+WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
+
+
+NOT_ASCII = re.compile("[^\x00-\x7f]+")
+
+
+class _Context(Exception):
+    """A run of characters can't be told without those around it."""
 
 
 @functools.cache
@@ -30,14 +37,35 @@ def _patterns():
     return re.compile("[" + re.escape(drop) + "]"), re.compile(r"[\W_]+")
 
 
+@functools.lru_cache(100_000)
+def _run_words(run: str) -> str | None:
+    """The words of a run without ASCII, blanks between; null where it hangs on what stands before or behind it."""
+    drop, other = _patterns()
+    rest = drop.sub("", run)
+    if rest and unicodedata.combining(rest[0]):  # may be one character with the letter before
+        return None
+    rest = unicodedata.normalize("NFKC", rest)
+    return None if "\u03a3" in rest else other.sub(" ", rest.lower())  # a sigma ends a word in a form of its own
+
+
+def _known(found: re.Match) -> str:
+    out = _run_words(found.group())
+    if out is None:
+        raise _Context
+    return out
+
+
 def normal_words(text: str | None) -> str | None:
     """Words of a text between single blanks: no Cf characters, NFKC, lower case, runs of letters and digits."""
     if not text:
         return text
-    if text.isascii():
-        return b" ".join(text.encode().translate(ASCII_WORDS).split()).decode()
-    drop, other = _patterns()
-    return other.sub(" ", unicodedata.normalize("NFKC", drop.sub("", text)).lower()).strip()
+    if not text.isascii():
+        try:
+            text = NOT_ASCII.sub(_known, text)
+        except _Context:
+            drop, other = _patterns()
+            return other.sub(" ", unicodedata.normalize("NFKC", drop.sub("", text)).lower()).strip()
+    return b" ".join(text.encode().translate(WORDS).split()).decode()
 
 
 def _normal(text: Column) -> Column:

@@ -35,7 +35,11 @@ def run(spark, corpus, items, **kw):
 
 
 def test_normal_words():
-    for t in ["Don't STOP_here", "ﬁne µm ２３ a​b", "É é", "", "a_b", "İx", "x²"]:
+    for t in ["Don't STOP_here", "ﬁne µm ２３ a​b", "É é", "", "a_b", "İx", "x²", "5 µM\u00a0at 3°C", "a\u0301b c\u200d\u0301d", "ΟΔΟΣ aΣ Σ", "\u2009x\u00ady", "日本 １２", "ﬁΣ"]:
+        assert normal_words(t).split() == words(t)
+    rng = random.Random(3)
+    for _ in range(3000):
+        t = "".join(rng.choices("aB1 _-µ°\u0301\u200dΣσİﬁ\uff13\u1100\u1161é\u00a0", k=rng.randint(1, 12)))
         assert normal_words(t).split() == words(t)
     assert normal_words(None) is None
 
