@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import warnings
 import zlib
 
 import numpy as np
@@ -24,20 +25,27 @@ from ..session import materialize
 CELLS = 1 << 16
 #: Labelled documents used at most, the first by hash; the model is fitted on them, all documents are scored.
 MAX_LABELLED = 50_000
-TOKEN = re.compile(r"[^\W_]+|[.!?。](?=\s)|[\r\n]+")
+TOKEN = re.compile(r"[^\W_]+|[.!?](?=\s)|[。！？｡]|[\r\n]+")
+#: Runs of signs that are written without blanks (Thai to Khmer, kana, Han characters); each two that follow each other count as a word.
+UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]+")
+#: Letters of a word's stem. Related languages share so much of their cognates; longer endings would part them.
+STEM = 6
 #: Pseudo-counts of the first count, over labelled documents, and of those over all; and the weights below which a word is noise there.
 PRIOR, TAU = (2.0, 20.0), (0.8, 0.5)
 #: Shares of sentences from which a document counts for a subject in a round over documents, and fully.
 GIVEN = (0.05, 0.12)
 #: Evidence a sentence needs in the first round and later, and how sharply it decides.
 FIRST, LATER, SHARP = 0.8, 1.1, 4.0
-#: Where a calibrated threshold may lie: a quarter of the sentences less those too plain to be told, and
-#: above passing mentions. Missing labels would else raise it.
-BOUNDS = (0.15, 0.2)
+#: Rounds end when the weights change by no more than this part of their sum. Where labels are few, more rounds drift away from them.
+STILL = 0.1
+#: Pseudo-cases, and where they hold the slope, the threshold and the share of labels that are missing of a subject that has few.
+PSEUDO, SLOPE, THRESHOLD, MISSING = 20.0, 40.0, 0.175, 0.1
+#: Subjects at most; their weights are the model's size.
+MAX_SUBJECTS = 1000
 
 
 class Cells(dict):
-    """Cell of a word: accents, case, plural s and all beyond six letters don't count; -1 ends a sentence."""
+    """Cell of a word's stem: its first STEM letters, without accents, case and a plural s; -1 ends a sentence."""
 
     def __missing__(self, word: str) -> int:
         if len(self) > 2_000_000:
@@ -48,16 +56,23 @@ class Cells(dict):
             low = "".join(c for c in unicodedata.normalize("NFKD", word.lower()) if not unicodedata.combining(c))
             if len(low) > 3 and low.endswith("s") and not low.endswith("ss"):
                 low = low[:-1]
-            cell = 0 if low.isdigit() or not low else 1 + zlib.crc32(low[:6].encode()) % (CELLS - 1)
+            cell = 0 if low.isdigit() or not low else 1 + zlib.crc32(low[:STEM].encode()) % (CELLS - 1)
         self[word] = cell
         return cell
 
 
+def tokens(text: str) -> list[str]:
+    """Words and ends of sentences of a text; a run without blanks gives its pairs of neighbouring signs."""
+    if not text.isascii() and UNSPACED.search(text):
+        text = UNSPACED.sub(lambda m: f" {' '.join(map(''.join, zip(m[0], m[0][1:]))) or m[0]} ", text)
+    return TOKEN.findall(text)
+
+
 def _features():
     def run(batches):
         cells = Cells()
         for batch in batches:
-            ids = [list(map(cells.__getitem__, TOKEN.findall(t))) if t else [] for t in batch.column(1).to_pylist()]
+            ids = [list(map(cells.__getitem__, tokens(t))) if t else [] for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32())), batch.column(2)], ["id", "cells", "marks"])
 
     return run
@@ -92,9 +107,10 @@ def sentence_scores(flat: np.ndarray, doc: np.ndarray, docs: int, weights: np.nd
     return share, p[:, :k], sentence, home
 
 
-def _counts(kind: str, weights: np.ndarray | None, need: float, k: int):
+def _counts(kind: str, model, need: float, k: int):
     """Sufficient statistics of a task's documents: (cell, n, by subject); cell -1 holds the totals."""
     def run(batches):
+        weights = model.value if model else None
         n, by, total, mass = np.zeros(CELLS), np.zeros((CELLS, k)), 0.0, np.zeros(k)
         for batch in batches:
             docs = batch.num_rows
@@ -150,7 +166,8 @@ def complement_weights(n: np.ndarray, by: np.ndarray, total: float, mass: np.nda
 
 def _sum(features: DataFrame, kind: str, weights, need: float, k: int):
     """Statistics of all documents; at most CELLS + 1 rows reach the driver, whatever the corpus."""
-    parts = features.select("cells", "marks").mapInArrow(_counts(kind, weights, need, k), "cell int, n double, by array<double>")
+    model = None if weights is None else features.sparkSession.sparkContext.broadcast(weights)
+    parts = features.select("cells", "marks").mapInArrow(_counts(kind, model, need, k), "cell int, n double, by array<double>")
     sums = parts.groupBy("cell").agg(F.sum("n").alias("n"), F.array(*[F.sum(F.get("by", F.lit(c))) for c in range(k)]).alias("by")).toArrow()
     cell = sums.column("cell").to_numpy()
     n, by = np.zeros(CELLS), np.zeros((CELLS, k))
@@ -163,11 +180,11 @@ def _sum(features: DataFrame, kind: str, weights, need: float, k: int):
     return n, by, float(count[~word].sum()), rows[~word].sum(axis=0)
 
 
-def _shares(weights: np.ndarray, k: int):
+def _shares(model, k: int):
     def run(batches):
         for batch in batches:
             flat, doc = _lists(batch.column(1))
-            share = sentence_scores(flat, doc, batch.num_rows, weights, LATER)[0]
+            share = sentence_scores(flat, doc, batch.num_rows, model.value, LATER)[0]
             words = np.bincount(doc[flat > 0], minlength=batch.num_rows)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * k), pa.array(share.reshape(-1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(words.astype(np.int64)), batch.column(2)], ["id", "share", "words", "marks"])
@@ -175,38 +192,52 @@ def _shares(weights: np.ndarray, k: int):
     return run
 
 
-def calibrate(share: np.ndarray, marked: np.ndarray) -> tuple[float, np.ndarray]:
-    """(slope, thresholds): P(subject) = 1 / (1 + exp(-slope * (share - threshold))), one threshold per subject.
+def calibrate(share: np.ndarray, marked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(slopes, thresholds), one of each per subject: P(subject) = 1 / (1 + exp(-slope * (share - threshold))).
 
-    Newton's method on the labelled documents; twenty pseudo-cases hold slope and thresholds where the labels are few.
+    Labels are noisy: one may be missing, or wrong. Per subject expectation-maximization tells how likely a document
+    deals with it by share and label, fits the logistic curve to that by Newton's method, and then the shares of missing
+    and of wrong labels. Pseudo-cases hold the numbers where the labels are few.
     """
-    k = share.shape[1]
-    slope, bias = 30.0, np.full(k, -6.0)
-    for _ in range(25):
-        z = np.clip(share * slope + bias, -30, 30)
-        p = 1 / (1 + np.exp(-z))
-        w, r = np.maximum(p * (1 - p), 1e-6), marked - p
-        grad = np.r_[(r * share).sum() - (slope - 30.0) * 0.05, r.sum(axis=0) - (bias + 6.0)]
-        hess = np.zeros((k + 1, k + 1))
-        hess[0, 0] = (w * share * share).sum() + 0.05
-        hess[0, 1:] = hess[1:, 0] = (w * share).sum(axis=0)
-        hess[np.arange(1, k + 1), np.arange(1, k + 1)] = w.sum(axis=0) + 1.0
-        step = np.linalg.solve(hess, grad)
-        slope, bias = max(5.0, slope + step[0]), bias + step[1:]
-        if np.abs(step).max() < 1e-6:
-            break
-    return slope, np.clip(-bias / slope, *BOUNDS)
-
-
-def subject_areas(docs: DataFrame, areas: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, document_rounds: int = 3, sentence_rounds: int = 1, max_labelled: int = MAX_LABELLED) -> DataFrame:
+    slopes, least = np.full(share.shape[1], SLOPE), np.full(share.shape[1], THRESHOLD)
+    for c in range(share.shape[1]):
+        x, y = share[:, c], marked[:, c] > 0
+        beta, missing, wrong = np.array([SLOPE, -SLOPE * THRESHOLD]), MISSING, 0.01
+        rows = np.stack([x, np.ones(len(x))], axis=1)
+        # pseudo-cases to both sides of the usual threshold, with the posteriors of the usual curve
+        held = np.stack([THRESHOLD + np.array([-2.0, -1.0, 1.0, 2.0]) / SLOPE, np.ones(4)], axis=1)
+        want = 1 / (1 + np.exp(-held @ beta))
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-np.clip(rows @ beta, -30, 30)))
+            yes, no = p * np.where(y, 1 - missing, missing), (1 - p) * np.where(y, wrong, 1 - wrong)
+            r = yes / np.maximum(yes + no, 1e-300)
+            before = beta
+            for _ in range(5):
+                p, q = (1 / (1 + np.exp(-np.clip(z @ beta, -30, 30))) for z in (rows, held))
+                grad = rows.T @ (r - p) + PSEUDO / 4 * (held.T @ (want - q))
+                hess = (rows * np.maximum(p * (1 - p), 1e-9)[:, None]).T @ rows + PSEUDO / 4 * (held * (q * (1 - q))[:, None]).T @ held
+                beta = beta + np.clip(np.linalg.solve(hess + 1e-9 * np.eye(2), grad), -10, 10)
+            missing = (r[~y].sum() + PSEUDO * MISSING) / (r.sum() + PSEUDO)
+            wrong = ((1 - r)[y].sum() + PSEUDO * 0.01) / ((1 - r).sum() + PSEUDO)
+            if np.abs(beta - before).max() < 1e-4:
+                break
+        if beta[0] > 0:
+            slopes[c], least[c] = beta[0], -beta[1] / beta[0]
+    return slopes, least
+
+
+def subject_areas(docs: DataFrame, areas: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, document_rounds: int = 8, sentence_rounds: int = 8, still: float = STILL, max_labelled: int = MAX_LABELLED) -> DataFrame:
     """(id, subject, share, posterior, words) of every document and every subject whose posterior is at least a half.
 
-    Labels that are null or name no subject stand for none; contradicting labels count side by side.
+    Rounds over documents, then over sentences, go on until the weights change by less than `still` of their sum; the numbers of
+    rounds are a safety stop, and a warning tells where it ended them. Labels that are null or name no subject stand for none; contradicting labels count side by side.
     Null, empty and blank texts have no subject; repeated rows of a document give one. With no subjects,
     no labels or no documents the result is empty. Columns beyond those named are left out.
     """
-    names = sorted(r[0] for r in areas.select("subject").distinct().collect() if r[0] is not None)
+    names = sorted(r[0] for r in areas.select("subject").filter("subject is not null").distinct().limit(MAX_SUBJECTS + 1).collect())
     k = len(names)
+    if k > MAX_SUBJECTS:
+        raise ValueError(f"more than {MAX_SUBJECTS} subjects")
     schema = f"{id_col} {docs.schema[id_col].dataType.simpleString()}, subject string, share double, posterior double, words long"
     if not k:
         return docs.sparkSession.createDataFrame([], schema)
@@ -217,17 +248,23 @@ def subject_areas(docs: DataFrame, areas: DataFrame, labels: DataFrame, id_col:
     kind = docs.schema[id_col].dataType.simpleString()
     features = materialize(rows.select("id", "text", "marks").mapInArrow(_features(), f"id {kind}, cells array<int>, marks array<int>"), "features")
     weights = complement_weights(*_sum(features.filter("marks is not null"), "labels", None, 0.0, k), PRIOR[0], TAU[0])
-    need = FIRST
-    for turn in range(document_rounds + sentence_rounds):
-        step = "documents" if turn < document_rounds else "sentences"
-        weights = complement_weights(*_sum(features, step, weights, need, k), PRIOR[1], TAU[1])
-        need = FIRST if turn < document_rounds - 1 else LATER
-    shares = features.select("id", "cells", "marks").mapInArrow(_shares(weights, k), f"id {kind}, share array<double>, words long, marks array<int>")
+    for step, rounds, need in (("documents", document_rounds, FIRST), ("sentences", sentence_rounds, LATER)):
+        for _ in range(rounds):
+            new = complement_weights(*_sum(features, step, weights, need, k), PRIOR[1], TAU[1])
+            moved, weights = np.abs(new - weights).sum() / max(np.abs(new).sum(), 1e-9), new
+            if moved <= still:
+                break
+        else:
+            if rounds:
+                warnings.warn(f"subject areas: the {step} still move by {moved:.3f} after {rounds} rounds", stacklevel=2)
+    model = docs.sparkSession.sparkContext.broadcast(weights)
+    shares = features.select("id", "cells", "marks").mapInArrow(_shares(model, k), f"id {kind}, share array<double>, words long, marks array<int>")
     known = shares.filter("marks is not null").select("share", "marks").toArrow()
     share = np.array(known.column("share").to_pylist(), float).reshape(-1, k)
     marked = np.array([[c in m for c in range(k)] for m in known.column("marks").to_pylist()], float).reshape(-1, k)
     slope, least = calibrate(share, marked)
-    each = F.arrays_zip(F.array(*map(F.lit, names)).alias("subject"), F.col("share"), F.array(*map(F.lit, least.tolist())).alias("least"))
+    lits = lambda x: F.array(*map(F.lit, x.tolist()))
+    each = F.arrays_zip(F.array(*map(F.lit, names)).alias("subject"), F.col("share"), lits(slope).alias("slope"), lits(least).alias("least"))
     out = shares.select("id", "words", F.explode(each).alias("x")).select("id", "words", "x.*").filter("share >= least")
-    posterior = 1 / (1 + F.exp(-F.lit(slope) * (F.col("share") - F.col("least"))))
+    posterior = 1 / (1 + F.exp(-F.col("slope") * (F.col("share") - F.col("least"))))
     return out.groupBy("id", "subject").agg(F.max("share").alias("share"), F.max(posterior).alias("posterior"), F.max("words").alias("words")).withColumnRenamed("id", id_col)

@@ -1,8 +1,10 @@
 import random
+import warnings
 
 import numpy as np
+import pytest
 
-from lodeweave.llm.subjects import Cells, calibrate, complement_weights, subject_areas
+from lodeweave.llm.subjects import Cells, calibrate, complement_weights, subject_areas, tokens
 
 TERMS = {"alpha": ["zebra", "lion crossing", "tiger"], "beta": ["violin", "cello tone", "oboe"], "gamma": ["magma", "lava flow", "basalt"], "delta": ["anchor", "keel", "rigging line"], "eps": ["sonnet", "stanza", "rhyme scheme"], "zeta": ["loom", "weft", "yarn dye"]}
 
@@ -64,8 +66,51 @@ def test_complement_weights_ignore_even_words():
     assert w[0].max() == 0 and w[1, 0] > 1 and w[1, 1] == 0 and w[2].max() == 0
 
 
-def test_calibration_moves_towards_the_labels():
+def test_calibration_is_of_each_subject_and_bears_noise():
     rng = np.random.default_rng(0)
-    share = rng.random((400, 1)) * 0.5
-    slope, least = calibrate(share, (share > 0.17).astype(float))
-    assert slope > 10 and 0.15 <= least[0] <= 0.2
+    share = rng.random((4000, 3)) * 0.6
+    border = np.array([0.1, 0.2, 0.35])
+    truth = share > border
+    label = truth & (rng.random(share.shape) > 0.25)  # a quarter of the labels is missing
+    label |= rng.random(share.shape) < 0.01
+    slope, least = calibrate(share, label.astype(float))
+    assert (np.abs(least - border) < 0.02).all() and (slope > 20).all()
+
+
+def test_calibration_with_few_labels_stays_at_the_usual_threshold():
+    slope, least = calibrate(np.array([[0.5, 0.0], [0.0, 0.0]]), np.array([[1.0, 0.0], [0.0, 0.0]]))
+    assert (np.abs(least - 0.175) < 0.03).all() and (slope > 10).all()
+    assert (np.abs(calibrate(np.zeros((0, 2)), np.zeros((0, 2)))[1] - 0.175) < 1e-6).all()
+
+
+def test_tokens_of_scripts_without_blanks():
+    assert tokens("酵母菌です。次 a b. C") == ["酵母", "母菌", "菌で", "です", "。", "次", "a", "b", ".", "C"]
+    assert tokens("don't 3.5 x") == ["don", "t", "3", "5", "x"]
+
+
+def test_documents_without_blanks_get_their_subject(spark):
+    rng = random.Random(4)
+    word = {"alpha": "酵母発酵", "beta": "統計検定"}
+    filler = ["結果を示す", "図を見よ", "今後の課題", "方法を述べる"]
+    docs, truth = [], {}
+    for i in range(300):
+        s = rng.choice([None, "alpha", "beta"])
+        parts = [rng.choice(filler) for _ in range(4)] + [word[s] + rng.choice(filler) for _ in range(4) if s]
+        rng.shuffle(parts)
+        docs.append((i, "。".join(parts) + "。"))
+        truth[i] = {s} - {None}
+    labels = [(i, s) for i in range(0, 300, 5) for s in (truth[i] or ["none"])]
+    got = {}
+    for r in run(spark, docs, labels).collect():
+        got.setdefault(r.doc_id, set()).add(r.subject)
+    assert sum(got.get(i, set()) == truth[i] for i in truth) >= 290
+
+
+def test_rounds_end_when_the_weights_are_still(spark):
+    docs, truth = corpus(300, 1)
+    labels = [(i, s) for i in range(0, 300, 3) for s in (sorted(truth[i]) or ["none"])]
+    with warnings.catch_warnings():
+        warnings.simplefilter("error", UserWarning)
+        assert run(spark, docs, labels).count()
+    with pytest.warns(UserWarning, match="still move"):
+        run(spark, docs, labels, document_rounds=1, still=0.0)
