@@ -1,13 +1,15 @@
 """Communities by modularity at several resolutions, as alternating moves and merges of the whole graph.
 
 Every pass is a Spark job over edges: each node looks up the weight to the communities around it and the
-gain of modularity of joining one; only a third of the nodes, by hash, move at a time, so neighbours that
+gain of modularity of joining one; only a half of the nodes, by hash, moves at a time, so neighbours that
 would swap forever don't; then communities become nodes and the passes go on over the smaller graph. At
-last the single nodes move once more between the communities found.
+last the single nodes move once more between the communities found, and communities that fall apart are split.
 """
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,7 +18,9 @@ from .graph import both_ways
 
 RESOLUTIONS = (0.3, 1.0, 3.0)
 #: Parts the nodes move in, by hash.
-PARTS = 3
+PARTS = 2
+#: While communities are merged nodes may move so many times as much as at last.
+COARSE = 5
 
 
 def _one_pass(links: DataFrame, state: DataFrame, two_m: float, resolution: float, turn: int) -> DataFrame:
@@ -35,22 +39,45 @@ def _one_pass(links: DataFrame, state: DataFrame, two_m: float, resolution: floa
     return best.select("node", F.when(now, F.col("best")).otherwise(F.col("own")).alias("community"), "degree", (now & (F.col("best") != F.col("own"))).alias("moved"))
 
 
-def _moves(links: DataFrame, state: DataFrame, two_m: float, resolution: float, passes: int, seed: int) -> tuple[DataFrame, bool]:
-    """Passes until no part moves, at most `passes`; whether any node moved."""
-    moved, still = False, 0
+def _moves(links: DataFrame, state: DataFrame, two_m: float, resolution: float, passes: int, still: float, seed: int) -> tuple[DataFrame, bool]:
+    """Passes until, of all parts in turn, at most the share `still` of the nodes moves; `passes` is a safety stop, which warns. Whether any node moved."""
+    nodes, last, moved = state.count(), [], False
     for turn in range(passes):
         state = materialize(_one_pass(links, state, two_m, resolution, seed + turn), "state")
-        changed = not state.filter("moved").isEmpty()
-        moved, still = moved or changed, 0 if changed else still + 1
-        if still == PARTS:
+        last.append(state.filter("moved").count())
+        moved = moved or last[-1] > 0
+        if turn >= PARTS - 1 and sum(last[-PARTS:]) <= still * nodes:
             break
+    else:
+        warnings.warn(f"communities: {sum(last[-PARTS:])} of {nodes} nodes still move after {passes} passes", stacklevel=3)
     return state, moved
 
 
-def communities(edge: DataFrame, resolution: float = 1.0, *, levels: int = 4, passes: int = 9, refine: int = 6) -> DataFrame:
+def _connected(links: DataFrame, member: DataFrame, rounds: int = 100) -> DataFrame:
+    """member (node, community) with communities split where they fall apart: each part is named by its least node.
+
+    Nodes take the least name around them inside their community, and the name of that name (pointer jumping), until none changes.
+    """
+    name = member.select(F.col("node").alias("other"), F.col("community").alias("theirs"))
+    inside = materialize(links.select("node", "other").join(member, "node").join(name, "other").filter("community = theirs").select("node", "other"), "inside")
+    part = materialize(member.select("node", F.col("node").alias("part")), "part")
+    for _ in range(rounds):
+        near = inside.join(part.select(F.col("node").alias("other"), "part"), "other").groupBy("node").agg(F.min("part").alias("least"))
+        least = part.join(near, "node", "left").select("node", F.col("part").alias("old"), F.least("part", F.coalesce("least", "part")).alias("part"))
+        further = part.select(F.col("node").alias("part"), F.col("part").alias("next"))
+        part = materialize(least.join(further, "part").select("node", "old", F.least("part", "next").alias("part")), "part")
+        if part.filter("part <> old").isEmpty():
+            break
+    else:
+        warnings.warn(f"communities: parts aren't told apart after {rounds} rounds", stacklevel=3)
+    return part.select("node", F.col("part").alias("community"))
+
+
+def communities(edge: DataFrame, resolution: float = 1.0, *, still: float = 0.01, levels: int = 20, passes: int = 60) -> DataFrame:
     """(node, community_id) of every node with an edge; ids count from 0 by size, then by least member.
 
-    Deterministic; an empty graph gives no rows. Edges are (src, dst, weight), once each.
+    Nodes move until at most the share `still` of them does, COARSE times as many at the levels where communities are merged, and levels follow until none joins another; `levels` and
+    `passes` are safety stops. Communities are connected. Deterministic; an empty graph gives no rows. Edges are (src, dst, weight), once each.
     """
     links = materialize(both_ways(edge), "links")
     two_m = links.agg(F.sum("weight")).first()[0]
@@ -66,7 +93,7 @@ def communities(edge: DataFrame, resolution: float = 1.0, *, levels: int = 4, pa
         weighted = materialize(links.join(degree, "node"), "links")
         if not level:
             single, first = start, weighted
-        state, moved = _moves(weighted, start, two_m, resolution, passes, level * passes)
+        state, moved = _moves(weighted, start, two_m, resolution, passes, COARSE * still, level * passes)
         if not moved:
             break
         step = state.select(F.col("node").alias("community"), F.col("community").alias("next"))
@@ -80,7 +107,8 @@ def communities(edge: DataFrame, resolution: float = 1.0, *, levels: int = 4, pa
         loops = merged.filter("a = b").select(F.col("a").alias("node"), "weight")
         links = merged.filter("a <> b").select(F.col("a").alias("node"), F.col("b").alias("other"), "weight")
     placed = single.select("node", "degree").join(member, "node").select("node", "community", "degree")
-    member = _moves(first, materialize(placed, "state"), two_m, resolution, refine, levels * passes)[0].select("node", "community")
+    member = _moves(first, materialize(placed, "state"), two_m, resolution, passes, still, levels * passes)[0].select("node", "community")
+    member = _connected(first, member)
     sizes = member.groupBy("community").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("least"))
     return member.join(numbered(sizes), "community").select("node", "community_id")
 

@@ -118,15 +118,17 @@ def live_nodes(mentioned: DataFrame, excluded: DataFrame) -> DataFrame:
     return without_documents(mentioned.select("chunk_id", "node").distinct(), excluded).select("node").distinct()
 
 
-def propagate_labels(edge: DataFrame, rounds: int = 10) -> DataFrame:
-    """(node, label): every node takes the heaviest label around it, ties by the least; a cheap start for communities."""
-    from ..session import materialize
-
-    links = materialize(both_ways(edge), "links")
-    labels = links.select("node").distinct().withColumn("label", F.col("node"))
-    for turn in range(rounds):
-        votes = links.join(labels.select(F.col("node").alias("other"), "label"), "other").groupBy("node", "label").agg(F.sum("weight").alias("w"))
-        own = labels.select("node", "label", F.lit(0.5).alias("w"))
-        best = votes.unionByName(own).groupBy("node", "label").agg(F.sum("w").alias("w")).groupBy("node").agg(F.min_by("label", F.struct(-F.col("w"), F.col("label"))).alias("label"))
-        labels = materialize(best, f"labels{turn}")
-    return labels
+def graph_stats(mentioned: DataFrame, edge: DataFrame) -> DataFrame:
+    """One row: the numbers of nodes and edges."""
+    return mentioned.agg(F.count_distinct("node").alias("nodes")).crossJoin(edge.agg(F.count(F.lit(1)).alias("edges")))
+
+
+def build_stats(extractions: DataFrame, mentioned: DataFrame, edge: DataFrame, assignments: dict[float, DataFrame] | None = None) -> DataFrame:
+    """(measure, resolution, value) of a build: chunks, truncated chunks, nodes, edges, and communities at each resolution."""
+    def rows(df: DataFrame, resolution: float | None = None) -> DataFrame:
+        return df.unpivot([], df.columns, "measure", "value").select("measure", F.lit(resolution).cast("double").alias("resolution"), F.col("value").cast("long").alias("value"))
+
+    out = rows(extractions.agg(F.count(F.lit(1)).alias("chunks"), F.count_if("truncated").alias("truncated_chunks"))).unionByName(rows(graph_stats(mentioned, edge)))
+    for r, a in (assignments or {}).items():
+        out = out.unionByName(rows(a.agg(F.count_distinct("community_id").alias("communities")), r))
+    return out

@@ -18,20 +18,30 @@ from pyspark.sql import functions as F
 from ..functions.text import doc_of, node_key, tokens
 from ..session import broadcast_if_small, materialize
 from .graph import both_ways
+from .match import holding
 
 K1, B, EPSILON, DELTA = 1.5, 0.75, 0.25, 1.0
 RRF_K, NEIGHBOUR_DAMP, TOP_COMMUNITIES = 60, 0.5, 8
-#: Terms of all queries of one call together.
-QUERY_TERMS = 2_000_000
+#: Query terms, and query vectors, that go to the tasks at a time.
+QUERY_TERMS, QUERIES = 2_000_000, 20_000
 #: Scores a task holds at once.
 CELLS = 4_000_000
+#: Words that end a candidate term: articles, pronouns, prepositions, conjunctions, auxiliaries.
+FUNCTION_WORDS = (
+    "a", "an", "the", "this", "that", "these", "those", "it", "its", "we", "our", "they", "their", "which", "who", "what",
+    "of", "in", "on", "at", "by", "for", "from", "to", "into", "with", "without", "within", "between", "during", "after", "before", "under", "over", "through", "via",
+    "and", "or", "but", "nor", "than", "as", "if", "when", "while", "because", "how", "not", "no",
+    "is", "are", "was", "were", "be", "been", "has", "have", "had", "can", "may", "does", "do",
+)
 
 
 def index_chunks(chunks: DataFrame, excluded: DataFrame | None = None) -> DataFrame:
     """(chunk_id, doc_id, text), one row per chunk_id with words in it; excluded documents' chunks left out."""
-    rows = chunks.filter(F.col("text").rlike(r"(?U)\S") & F.col("chunk_id").isNotNull()).groupBy("chunk_id").agg(F.min("text").alias("text"))
-    rows = rows.select("chunk_id", doc_of(F.col("chunk_id")).alias("doc_id"), "text")
-    return rows if excluded is None else rows.join(excluded.select("doc_id").distinct(), "doc_id", "left_anti").select("chunk_id", "doc_id", "text")
+    rows = chunks.filter(F.col("text").rlike(r"(?U)\S") & F.col("chunk_id").isNotNull()).select("chunk_id", "text")
+    if excluded is not None:
+        rows = rows.withColumn("doc_id", doc_of(F.col("chunk_id"))).join(excluded.select("doc_id").distinct(), "doc_id", "left_anti")
+    rows = rows.groupBy("chunk_id").agg(F.min("text").alias("text"))
+    return rows.select("chunk_id", doc_of(F.col("chunk_id")).alias("doc_id"), "text")
 
 
 def exclusion_audit(chunks: DataFrame, excluded: DataFrame) -> DataFrame:
@@ -44,62 +54,130 @@ def top_k(scored: DataFrame, k: int, by: str = "query_id", item: str = "chunk_id
     return scored.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
+class Best:
+    """The best k rows of each query that a task has seen: by score, ties by name."""
+
+    def __init__(self, queries: int, k: int):
+        self.k, self.floor = k, np.full(queries, -np.inf)
+        self.held: list[tuple] = []
+        self.loose, self.room = 0, max(100_000, 2 * k * queries)
+
+    def add(self, query: np.ndarray, names: np.ndarray, score: np.ndarray) -> None:
+        keep = score >= self.floor[query]
+        self.held.append((query[keep], names[keep], score[keep]))
+        self.loose += len(self.held[-1][0])
+        if self.loose > self.room:
+            self.cut()
+
+    def cut(self) -> tuple:
+        if not self.held:
+            return ()
+        query, names, score = (np.concatenate(x) for x in zip(*self.held))
+        by = np.lexsort((names, -score, query))
+        query, names, score = query[by], names[by], score[by]
+        place = np.arange(len(query)) - np.searchsorted(query, query)
+        last = place == self.k - 1
+        self.floor[query[last]] = score[last]
+        top = place < self.k
+        self.held, self.loose = [(query[top], names[top], score[top])], 0
+        return self.held[0]
+
+    def batches(self, ids: pa.Array, key: str, kind: pa.DataType):
+        """What is held, as (query_id, key, score)."""
+        got = self.cut()
+        for s in range(0, len(got[0]) if got else 0, 100_000):
+            query, names, score = (x[s : s + 100_000] for x in got)
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(query)), pa.array(names.tolist(), kind), pa.array(score)], ["query_id", key, "score"])
+
+
+def _blocks(queries: DataFrame, size: int, rows: int) -> list[Column]:
+    """Conditions that cut queries into parts of about `size` queries each, and of as many as `rows` allows."""
+    n = max(1, -(-queries.select("query_id").distinct().count() // max(1, size)), rows)
+    return [F.pmod(F.xxhash64("query_id"), F.lit(n)) == b for b in range(n)]
+
+
 def bm25(texts: DataFrame, queries: DataFrame, k: int = 10, key: str = "chunk_id") -> DataFrame:
-    """Okapi BM25. Negative idf becomes EPSILON times the mean idf of all terms; a term repeated in a query
+    """Okapi BM25. Negative idf becomes EPSILON times the mean idf of all terms (0 where that is negative, too); a term repeated in a query
     counts again. Where fewer than k chunks match, the ranking goes on with score 0 in order of id.
     An empty index gives no rows.
+    """
+    return top_k(bm25_hits(texts, queries, k, key), k, item=key)
+
 
-    Document frequencies are one grouping over the corpus. The query terms with their weights, whose number
-    is checked, go to every task as lists of queries per term; a task scores its chunks against all queries
-    at once and passes on k per query, so neither postings nor scores of whole rankings are shuffled.
+def bm25_hits(texts: DataFrame, queries: DataFrame, k: int, key: str = "chunk_id") -> DataFrame:
+    """(query_id, key, score): of every task at most its k best chunks of each query, and the first k ids with every query.
+
+    Document frequencies are one grouping over the corpus. The query terms with their weights go to every task as lists of
+    queries per term, a block of queries at a time; a task scores its chunks against all queries of the block
+    and sends k of each at its end, so neither postings nor scores of whole rankings are shuffled.
     """
     asked = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
-    if asked.limit(QUERY_TERMS + 1).count() > QUERY_TERMS:
-        raise ValueError(f"more than {QUERY_TERMS} query terms: rank the queries in parts")
     sized = texts.select(key, tokens(F.col("text")).alias("ts"))
     stats = sized.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("ts")).alias("avg_size")).first()
     schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, {key} {texts.schema[key].dataType.simpleString()}, score double"
     if not stats.n:
-        return texts.sparkSession.createDataFrame([], schema + ", rank int")
+        return texts.sparkSession.createDataFrame([], schema)
     df = sized.select(F.explode(F.array_distinct("ts")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     raw = materialize(df.select("term", (F.log(F.lit(stats.n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf")), "idf")
-    mean = raw.agg(F.avg("idf")).first()[0] or 0.0
-    known = asked.join(raw, "term").withColumn("idf", F.when(F.col("idf") < 0, EPSILON * mean).otherwise(F.col("idf"))).orderBy("query_id", "term").toArrow()
-    ids = queries.select("query_id").distinct().orderBy("query_id").toArrow().column(0).combine_chunks()
-    score = _bm25_block(known, ids, stats.avg_size, k, key)
-    return top_k(texts.select(key, "text").mapInArrow(score, schema), k, item=key)
-
-
-def _bm25_block(known: pa.Table, ids: pa.Array, avg_size: float, k: int, key: str):
+    mean = max(raw.agg(F.avg("idf")).first()[0] or 0.0, 0.0)
+    known = materialize(asked.join(raw, "term").withColumn("idf", F.when(F.col("idf") < 0, EPSILON * mean).otherwise(F.col("idf"))), "known")
+    first = np.array([r[0] for r in texts.select(key).orderBy(key).limit(k).collect()])
+    context = texts.sparkSession.sparkContext
+    parts = []
+    for part in _blocks(queries, CELLS // k, -(-known.count() // QUERY_TERMS)):
+        ids = queries.filter(part).select("query_id").distinct().orderBy("query_id").toArrow().column(0).combine_chunks()
+        weights = context.broadcast((_term_lists(known.filter(part).toArrow(), ids), ids, first))
+        parts.append(texts.select(key, "text").mapInArrow(_bm25_task(weights, stats.avg_size, k, key), schema))
+    return _union(parts)
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def _term_lists(known: pa.Table, ids: pa.Array) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """Of each term the queries that hold it, by place in ids, and their weights."""
     place = {v: i for i, v in enumerate(ids.to_pylist())}
     terms: dict[str, list] = {}
     for q, t, n, w in zip(*(known.column(c).to_pylist() for c in ("query_id", "term", "times", "idf"))):
         terms.setdefault(t, []).append((place[q], n * w * (K1 + 1)))
-    lists = {t: (np.array([q for q, _ in x]), np.array([w for _, w in x])) for t, x in terms.items()}
+    return {t: tuple(map(np.array, zip(*sorted(x)))) for t, x in terms.items()}
 
+
+def _bm25_task(weights, avg_size: float, k: int, key: str):
     def run(batches):
-        word = re.compile("[a-z0-9]+").findall
-        step = max(16, min(1024, CELLS // max(1, len(place))))
+        lists, ids, first = weights.value
+        word, every, kind = re.compile("[a-z0-9]+").findall, np.arange(len(ids)), None
+        best, first = Best(len(ids), k), set(first.tolist())
         for batch in batches:
-            for at in range(0, batch.num_rows, step):
-                part = batch.slice(at, step)
-                names = part.column(0).to_pylist()
-                order = sorted(range(len(names)), key=names.__getitem__)
-                rows = np.zeros((len(names), len(place)))
-                texts = part.column(1).to_pylist()
-                for r, i in enumerate(order):
-                    found = word((texts[i] or "").lower())
-                    base = K1 * (1 - B + B * len(found) / avg_size) if avg_size else K1
-                    met = [(lists[t], n / (n + base)) for t, n in Counter(found).items() if t in lists]
-                    if met:
-                        q = np.concatenate([x[0] for x, _ in met])
-                        rows[r] = np.bincount(q, np.concatenate([x[1] * f for x, f in met]), len(place))
-                rows = np.round(rows, 6)
-                # the best k of each query here; ties by id, since rows are in order of id
-                best = np.argsort(-rows, axis=0, kind="stable")[:k]
-                q = np.broadcast_to(np.arange(len(place)), best.shape).ravel()
-                r = best.ravel()
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(q)), part.column(0).take(pa.array(np.array(order)[r])), pa.array(rows[r, q])], ["query_id", key, "score"])
+            kind = batch.column(0).type
+            names = np.array(batch.column(0).to_pylist())
+            got: list[tuple] = []
+            for r, text in enumerate(batch.column(1).to_pylist()):
+                found = word((text or "").lower())
+                base = K1 * (1 - B + B * len(found) / avg_size) if avg_size else K1
+                met = [(lists[t], n / (n + base)) for t, n in Counter(found).items() if t in lists]
+                score = np.zeros(0)
+                if met:  # sums of the queries that are met, whichever way is shorter
+                    q, w = np.concatenate([x[0] for x, _ in met]), np.concatenate([x[1] * f for x, f in met])
+                    if 4 * len(q) < len(ids):
+                        at, q = np.unique(q, return_inverse=True)
+                        score = np.bincount(q, w)
+                    else:
+                        score = np.bincount(q, w, len(ids))
+                        at = np.flatnonzero(score > 0)
+                        score = score[at]
+                if names[r] in first:
+                    score, at = np.bincount(at, score, len(ids)) if len(score) else np.zeros(len(ids)), every
+                if len(score):
+                    got.append((at, np.full(len(at), r), np.maximum(np.round(score, 6), 0)))
+            if got:
+                q, r, score = (np.concatenate(x) for x in zip(*got))
+                best.add(q, names[r], score)
+        yield from best.batches(ids, key, kind)
 
     return run
 
@@ -130,43 +208,53 @@ def dot(a: Column, b: Column) -> Column:
 def vector_search(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "chunk_id") -> DataFrame:
     """Cosine of normalised queries (query_id, vector) with the stored vectors as they are: (query_id, key, score, rank).
 
-    The queries go to every task as one block (their number is the caller's, and checked), so each stored
-    vector is read once; a task keeps k per query, and only those are shuffled.
+    The queries go to every task, a block at a time; a task keeps k per query, and only those are shuffled. Stored vectors of
+    another length than the queries and with nulls are left out; queries of different lengths raise.
     """
+    return top_k(vector_hits(vectors, queries, k, key), k, item=key)
+
+
+def vector_hits(vectors: DataFrame, queries: DataFrame, k: int, key: str = "chunk_id") -> DataFrame:
+    """(query_id, key, score): of every task at most its k best rows of each query."""
     asked = queries.filter(F.size("vector") > 0).select("query_id", F.col("vector").cast("array<double>").alias("vector"))
-    if asked.limit(100_001).count() > 100_000:
-        raise ValueError("more than 100000 queries: search them in parts")
-    block = asked.orderBy("query_id").toArrow()
-    names = block.column("query_id")
-    dims = {len(v) for v in block.column("vector").to_pylist()}
     kinds = {f.name: f.dataType.simpleString() for f in [*queries.schema.fields, *vectors.schema.fields]}
     schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, {key} {kinds[key]}, score double"
+    dims = [r[0] for r in asked.select(F.size("vector")).distinct().limit(2).collect()]
     if len(dims) != 1:
         if not dims:
-            return vectors.sparkSession.createDataFrame([], schema + ", rank int")
+            return vectors.sparkSession.createDataFrame([], schema)
         raise ValueError("query vectors of different lengths")
-    dim = dims.pop()
-    q = np.array(block.column("vector").to_pylist(), float)
-    norm = np.linalg.norm(q, axis=1, keepdims=True)
-    q = np.divide(q, norm, out=q.copy(), where=norm > 0)
-    ids = names.combine_chunks()
-
-    def search(batches):
+    stored = vectors.filter((F.size("vector") == dims[0]) & ~F.exists("vector", lambda x: x.isNull())).select(key, F.col("vector").cast("array<double>").alias("vector"))
+    parts = []
+    for part in _blocks(asked, min(QUERIES, CELLS // k), 1):
+        block = asked.filter(part).orderBy("query_id").toArrow()
+        q = block.column("vector").combine_chunks().flatten().to_numpy().reshape(-1, dims[0])
+        norm = np.linalg.norm(q, axis=1, keepdims=True)
+        q = np.divide(q, norm, out=q.copy(), where=norm > 0)
+        parts.append(stored.mapInArrow(_vector_task(vectors.sparkSession.sparkContext.broadcast((q, block.column("query_id").combine_chunks())), k, key), schema))
+    return _union(parts)
+
+
+def _vector_task(asked, k: int, key: str):
+    def run(batches):
+        q, ids = asked.value
+        best, kind = Best(len(q), k), None
         step = max(16, min(4096, CELLS // max(1, len(q))))
         for batch in batches:
+            kind = batch.column(0).type
+            names = np.array(batch.column(0).to_pylist())
             for at in range(0, batch.num_rows, step):
-                part = batch.slice(at, step)
-                x = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(float)
+                part = batch.column(1).slice(at, step)
+                x = part.flatten().to_numpy(zero_copy_only=False).reshape(len(part), -1)
                 score = np.round(q @ x.T, 6)
+                floor = best.floor
                 if score.shape[1] > k:
-                    floor = np.partition(score, -k, axis=1)[:, -k][:, None]
-                    i, j = np.nonzero(score >= floor)
-                else:
-                    i, j = np.indices(score.shape).reshape(2, -1)
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(i)), part.column(0).take(pa.array(j)), pa.array(score[i, j])], ["query_id", key, "score"])
+                    floor = np.maximum(floor, np.partition(score, -k, axis=1)[:, -k])
+                i, j = np.nonzero(score >= floor[:, None])
+                best.add(i, names[at + j], score[i, j])
+        yield from best.batches(ids, key, kind)
 
-    stored = vectors.filter((F.size("vector") == dim) & ~F.exists("vector", lambda x: x.isNull())).select(key, F.col("vector").cast("array<double>").alias("vector"))
-    return top_k(stored.mapInArrow(search, schema), k, item=key)
+    return run
 
 
 def rrf(rankings: list[DataFrame], k: int = 10, key: str = "chunk_id") -> DataFrame:
@@ -177,11 +265,10 @@ def rrf(rankings: list[DataFrame], k: int = 10, key: str = "chunk_id") -> DataFr
     return top_k(every.groupBy("query_id", key).agg(F.round(F.sum(1 / (RRF_K + F.col("rank"))), 6).alias("score")), k, item=key)
 
 
-def candidate_terms(text: Column, most: int = 12) -> Column:
-    """Stand-in for noun phrases: the distinct tokens of six characters or more with a letter, most frequent first, then by name."""
-    ts = F.filter(tokens(text), lambda t: (F.length(t) >= 6) & t.rlike("[a-z]"))
-    counted = F.transform(F.array_distinct(ts), lambda t: F.struct((-F.size(F.filter(ts, lambda u: u == t))).alias("n"), t.alias("t")))
-    return F.transform(F.slice(F.array_sort(counted), 1, most), lambda s: s["t"])
+def candidate_terms(text: Column) -> Column:
+    """Stand-in for noun phrases: the distinct runs of words between function words and punctuation, of three characters or more with a letter."""
+    plain = F.regexp_replace(node_key(text), r"[^\p{L}\p{N} -]|\b(?:" + "|".join(FUNCTION_WORDS) + r")\b", "|")
+    return F.array_distinct(F.filter(F.transform(F.split(plain, r"\|"), lambda t: F.trim(t)), lambda t: (F.length(t) >= 3) & t.rlike(r"\p{L}")))
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -194,10 +281,11 @@ def matched_nodes(queries: DataFrame, live: DataFrame, edge: DataFrame) -> DataF
     """(query_id, node, weight): live nodes equal to a query term or holding it (four characters or more) weigh 1;
     their live neighbours half their edge over the seed's heaviest edge; a node keeps the most.
 
-    The terms are few and broadcast, so each node is looked at once.
+    All terms are looked for in one pass over the nodes.
     """
-    terms = broadcast_if_small(query_terms(queries))
-    seeds = live.join(terms, (F.col("node") == F.col("term")) | ((F.length("term") >= 4) & F.contains("node", "term"))).select("query_id", "node").distinct()
+    terms = query_terms(queries)
+    held = holding(live.select("node"), "node", terms, "term").filter((F.col("node") == F.col("word")) | (F.length("word") >= 4))
+    seeds = materialize(held.join(terms.withColumnRenamed("term", "word"), "word").select("query_id", "node").distinct(), "seeds")
     # the heaviest edge counts dead neighbours, too
     scaled = both_ways(edge)
     heaviest = scaled.groupBy("node").agg(F.max("weight").alias("most"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import asserts, names_token, own_prose, squeeze
+from .match import holding
 
 SUPPORTS, REFUTES, OPEN = "SUPPORTS", "REFUTES", "NOT_ENOUGH_INFO"
 
@@ -18,20 +19,22 @@ def latest(records: DataFrame, key: str, order: str) -> DataFrame:
 
 def clamp_score(score: Column) -> Column:
     """1 to 5; null where it is no number."""
-    number = score.try_cast("int")
+    number = score.cast("string").try_cast("int")
     return F.when(number.isNotNull(), F.greatest(F.least(number, F.lit(5)), F.lit(1)))
 
 
 def finding_hygiene(findings: DataFrame, known: DataFrame, most: int = 8) -> DataFrame:
-    """(run_id, reviewer, finding_id, evidence, dropped_ids): of each reviewer the first `most` findings with a text,
-    evidence restricted to known chunk ids, the others counted. known: (chunk_id)."""
+    """(run_id, reviewer, finding_id, evidence, dropped_ids, score): of each reviewer the first `most` findings with a text,
+    evidence restricted to known chunk ids, the others counted, the score from 1 to 5 (null without a column of that name,
+    or where it is no number). known: (chunk_id)."""
     order = Window.partitionBy("run_id", "reviewer").orderBy("created_at", "finding_id")
     kept = findings.filter(F.col("text").rlike(r"(?U)\S")).withColumn("nr", F.row_number().over(order)).filter(F.col("nr") <= most)
     ids = kept.select("finding_id", F.explode("evidence_chunk_ids").alias("chunk_id")).distinct()
     good = ids.join(known.select("chunk_id"), "chunk_id", "left_semi").groupBy("finding_id").agg(F.array_sort(F.collect_list("chunk_id")).alias("evidence"))
-    out = kept.select("run_id", "reviewer", "finding_id", F.size(F.array_distinct(F.coalesce("evidence_chunk_ids", F.array().cast("array<string>")))).alias("named")).join(good, "finding_id", "left")
+    score = clamp_score(F.col("score")) if "score" in findings.columns else F.lit(None).cast("int")
+    out = kept.select("run_id", "reviewer", "finding_id", score.alias("score"), F.size(F.array_distinct(F.coalesce("evidence_chunk_ids", F.array().cast("array<string>")))).alias("named")).join(good, "finding_id", "left")
     evidence = F.coalesce("evidence", F.array().cast("array<string>"))
-    return out.select("run_id", "reviewer", "finding_id", evidence.alias("evidence"), (F.col("named") - F.size(evidence)).alias("dropped_ids"))
+    return out.select("run_id", "reviewer", "finding_id", evidence.alias("evidence"), (F.col("named") - F.size(evidence)).alias("dropped_ids"), "score")
 
 
 def grounding(findings: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -46,20 +49,28 @@ def grounding(findings: DataFrame, chunks: DataFrame) -> DataFrame:
     return joined.groupBy("finding_id").agg(F.count("chunk_id").alias("named"), F.count("chunk_text").alias("known"), F.count_if(held).alias("grounded"))
 
 
-def swap_verdicts(judgements: DataFrame) -> DataFrame:
-    """(claim_id, verdict, spans, swapped, swap_consistent) from (claim_id, ord 0/1, verdict, spans array<string>).
+def swap_verdicts(judgements: DataFrame, evidence: DataFrame) -> DataFrame:
+    """(claim_id, verdict, spans, swapped, swap_consistent) of every claim of evidence (claim_id, chunk_ids in the order given)
+    from judgements (claim_id, ord 0/1, verdict, spans array<struct<chunk_id, quote>>).
 
-    Orders that agree keep the verdict and all spans; that disagree give NOT_ENOUGH_INFO and the spans both
-    cite; a claim with one judgement or none with evidence wasn't swapped and stays open.
+    Orders that agree keep the verdict and the spans of both; that disagree give NOT_ENOUGH_INFO and the spans of chunks both
+    cite. A verdict that is none, or lacks, is NOT_ENOUGH_INFO without spans. Spans come once each, in the order of the
+    evidence, then of the judgements. A claim without evidence isn't judged: it stays open, not swapped, and consistent.
     """
+    none = F.array().cast("array<struct<chunk_id:string,quote:string>>")
     side = lambda n, c: F.first(F.when(F.col("ord") == n, F.col(c)), ignorenulls=True)
     both = judgements.groupBy("claim_id").agg(side(0, "verdict").alias("v0"), side(1, "verdict").alias("v1"), side(0, "spans").alias("s0"), side(1, "spans").alias("s1"))
-    valid = lambda v: F.when(F.col(v).isin(SUPPORTS, REFUTES, OPEN), F.col(v)).otherwise(OPEN)
-    swapped = F.col("v0").isNotNull() & F.col("v1").isNotNull()
-    same = swapped & (valid("v0") == valid("v1"))
-    none = F.array().cast("array<string>")
-    spans = F.when(same, F.array_union(F.coalesce("s0", none), F.coalesce("s1", none))).when(swapped, F.array_intersect(F.coalesce("s0", none), F.coalesce("s1", none))).otherwise(none)
-    return both.select("claim_id", F.when(same, valid("v0")).otherwise(OPEN).alias("verdict"), F.array_sort(spans).alias("spans"), swapped.alias("swapped"), F.when(swapped, same).alias("swap_consistent"))
+    rows = evidence.select("claim_id", F.coalesce("chunk_ids", F.array().cast("array<string>")).alias("order")).join(both, "claim_id", "left")
+    told = lambda v: F.coalesce(F.col(v).isin(SUPPORTS, REFUTES, OPEN), F.lit(False))
+    rows = rows.select("claim_id", "order", *[F.when(told(f"v{n}"), F.col(f"v{n}")).otherwise(OPEN).alias(f"v{n}") for n in (0, 1)], *[F.when(told(f"v{n}"), F.coalesce(f"s{n}", none)).otherwise(none).alias(f"s{n}") for n in (0, 1)])
+    swapped, same = F.size("order") > 0, F.col("v0") == F.col("v1")
+    cites = lambda s: F.transform(s, lambda x: x["chunk_id"])
+    shared = F.array_intersect(cites("s0"), cites("s1"))
+    kept = F.array_distinct(F.filter(F.concat("s0", "s1"), lambda x: same | F.array_contains(shared, x["chunk_id"])))
+    place = lambda x: F.coalesce(F.nullif(F.array_position("order", x["chunk_id"]), F.lit(0)), F.size("order") + 1)
+    ranked = F.array_sort(F.transform(kept, lambda x, i: F.struct(place(x).alias("place"), i.alias("i"), x.alias("span"))))
+    spans = F.when(swapped, F.transform(ranked, lambda x: x["span"])).otherwise(none)
+    return rows.select("claim_id", F.when(swapped & same, F.col("v0")).otherwise(OPEN).alias("verdict"), spans.alias("spans"), swapped.alias("swapped"), (~swapped | same).alias("swap_consistent"))
 
 
 def consistency(verdicts: DataFrame, source: str = "source", least: int = 10) -> DataFrame:
@@ -93,21 +104,35 @@ def within_budget(samples: DataFrame, by: str, order: list[str], cost: str, budg
 
 
 def planted_scores(errors: DataFrame, findings: DataFrame) -> DataFrame:
-    """(arm, error_id, named, detected): whether a finding of an arm names the planted token and whether one asserts it.
+    """(arm, source, error_id, named, detected): whether a finding of an arm names the planted token and whether one asserts it, for
+    every arm of a source and every error of it.
 
     errors: (source, error_id, token, manuscript); findings: (source, arm, text). Sentences copied from the
     manuscript are taken out first. Errors are few; each finding meets those of its own source.
     """
     prose = findings.join(errors, "source").withColumn("prose", own_prose(F.col("text"), F.col("manuscript")))
-    told = prose.groupBy("arm", "source", "error_id").agg(F.max(names_token(F.col("prose"), F.col("token"))).alias("named"), F.max(asserts(F.col("prose"), F.col("token"))).alias("detected"))
-    return told.select("arm", "source", "error_id", "named", "detected")
+    hit = lambda c: F.coalesce(F.max(c), F.lit(False))
+    return prose.groupBy("arm", "source", "error_id").agg(hit(names_token(F.col("prose"), F.col("token"))).alias("named"), hit(asserts(F.col("prose"), F.col("token"))).alias("detected"))
 
 
-def token_collisions(tokens: DataFrame, texts: DataFrame) -> DataFrame:
-    """(token, documents): in how many documents a token stands, upper and lower case alike. The tokens are few
-    (their number is checked); each text is read once and compared with all of them."""
-    from ..session import broadcast_if_small
+def arm_results(scores: DataFrame, spent: DataFrame, reference_arm: str) -> DataFrame:
+    """(arm, source, detected, named, missed, tokens, budget_share): error ids of planted_scores by outcome, sorted; tokens of
+    spent (arm, source, tokens) and their share of what the reference arm spent on the source, null where it spent nothing."""
+    ids = lambda c: F.array_sort(F.collect_list(F.when(c, F.col("error_id"))))
+    told = scores.groupBy("arm", "source").agg(ids(F.col("detected")).alias("detected"), ids(F.col("named")).alias("named"), ids(~F.col("detected")).alias("missed"))
+    used = spent.groupBy("arm", "source").agg(F.sum("tokens").alias("tokens"))
+    base = used.filter(F.col("arm") == reference_arm).select("source", F.col("tokens").alias("base"))
+    out = told.join(used, ["arm", "source"], "left").join(base, "source", "left")
+    return out.select("arm", "source", "detected", "named", "missed", "tokens", F.round(F.try_divide("tokens", "base"), 6).alias("budget_share"))
+
+
+def pooled_findings(samples: DataFrame) -> DataFrame:
+    """(source, arm, text, samples): the findings of all samples of an arm, each text once, with how many samples gave it."""
+    return samples.filter("text is not null").groupBy("source", "arm", "text").agg(F.count_distinct("sample").alias("samples"))
 
-    few = broadcast_if_small(tokens.select("token").distinct(), 10_000)
-    hit = texts.join(few, F.contains(F.lower("text"), F.lower("token"))).select("token", "doc_id").distinct()
-    return tokens.select("token").distinct().join(hit.groupBy("token").agg(F.count(F.lit(1)).alias("documents")), "token", "left").fillna(0, ["documents"])
+
+def token_collisions(tokens: DataFrame, texts: DataFrame) -> DataFrame:
+    """(token, documents): in how many documents a token stands, upper and lower case alike; all are looked for in one pass over each text."""
+    each = tokens.select("token", F.lower("token").alias("word")).distinct()
+    hit = holding(texts.select("doc_id", F.lower("text").alias("text")), "text", each, "word").select("word", "doc_id").distinct()
+    return each.join(hit.groupBy("word").agg(F.count(F.lit(1)).alias("documents")), "word", "left").fillna(0, ["documents"]).select("token", "documents")

@@ -9,17 +9,26 @@ from ..functions.text import first_words, lines, sentences, short_hash, squeeze
 from . import records
 from .rank import bm25_plus
 
-METHODS_HEADING = r"(?iU)^\s*(?:#{1,6}\s*)?(?:\d{1,2}[.)]?\s*)?(?:materials?\s+and\s+methods|methods?|experimental\s+procedures)\s*:?\s*$"
+#: A line that opens the part on methods.
+METHODS_HEADING = r"(?iU)^\s*(?:(?:materials\s+and\s+)?methods|experimental)"
+#: Asked of every manuscript beside its own queries.
+FIXED_QUERY = "statistical analysis quantification replication controls"
 # Where a recorded window size came from, by the provider's first part.
 WINDOW_SOURCES = {"native": "requested", "openai": "loaded", "anthropic": "fixed"}
 
 
-def methods_lead(text: Column, words: int = 40) -> Column:
-    """The first words after a methods heading; null where there is none."""
+def methods_lead(text: Column, words: int = 60) -> Column:
+    """The first words from the methods heading on, the heading included; null where there is none."""
     at = lines(text)
     place = F.array_position(F.transform(at, lambda x: x.rlike(METHODS_HEADING)), True)
-    after = squeeze(F.array_join(F.slice(at, place + 1, F.size(at)), " "))
-    return F.when((place > 0) & (after != ""), first_words(after, words))
+    rest = squeeze(F.array_join(F.slice(at, place, F.size(at)), " "))
+    return F.when(place > 0, first_words(rest, words))
+
+
+def derived_queries(manuscripts: DataFrame) -> DataFrame:
+    """(preprint_doi, nr, query) of manuscripts (preprint_doi, title, body): the title, the methods lead where there is one, the fixed query."""
+    asked = F.array_compact(F.array(F.col("title"), methods_lead(F.col("body")), F.lit(FIXED_QUERY)))
+    return manuscripts.select("preprint_doi", F.posexplode(asked).alias("nr", "query"))
 
 
 def query_cases(manuscripts: DataFrame, twins: DataFrame, cited: DataFrame, stored: DataFrame) -> tuple[DataFrame, DataFrame]:

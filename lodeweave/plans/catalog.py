@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import chunking, community, graph, lens, metrics, rank, records, review
+from ..operators import chunking, community, graph, lens, metrics, planting, rank, records, review
 from ..session import materialize
 from ..sources import corpus
 from .oracles import ORACLES
@@ -132,7 +132,7 @@ def vector_batch(spark, folder):
 def _cases(spark, folder):
     """(query_id, text, vector): a case per twin, its title as text, the vector of its first chunk that has one."""
     t = table(spark, folder, "twins").groupBy("pmcid").agg(F.min("title").alias("text"))
-    v = _vectors(spark, folder).withColumn("pmcid", tx.doc_of(F.col("chunk_id"))).groupBy("pmcid").agg(F.min_by("vector", "chunk_id").alias("vector"))
+    v = _vectors(spark, folder).withColumn("pmcid", tx.doc_of(F.col("chunk_id"))).join(F.broadcast(t.select("pmcid")), "pmcid", "left_semi").groupBy("pmcid").agg(F.min_by("vector", "chunk_id").alias("vector"))
     return t.join(v, "pmcid", "left").withColumnRenamed("pmcid", "query_id")
 
 
@@ -167,7 +167,7 @@ def _relevant(spark, folder, index, cases):
 def case_metrics(spark, folder):
     index, cases, _, lexical, _ = _case_rankings(spark, folder, 2000)
     ranked = rank.doc_ranking(lexical)
-    return metrics.case_metrics(ranked, _relevant(spark, folder, index, cases))
+    return metrics.case_metrics(ranked, _relevant(spark, folder, index, cases), cases)
 
 
 @query
@@ -196,14 +196,26 @@ def ladder(spark, folder):
         "graph_local": rank.graph_local(cases, m, edge, index, 2000, vectors=vectors),
         "graph_global": rank.graph_global(cases.select("query_id", "text"), reports, assignment, m, index, 2000),
     }
-    relevant = materialize(_relevant(spark, folder, index, cases), "relevant")
-    parts = [metrics.case_metrics(rank.doc_ranking(r), relevant).withColumn("ranker", F.lit(name)) for name, r in rankers.items()]
+    return _ladder(rankers, _relevant(spark, folder, index, cases), cases)
+
+
+def _ladder(rankers, relevant, cases):
+    relevant = materialize(relevant, "relevant")
+    parts = [metrics.case_metrics(rank.doc_ranking(r), relevant, cases).withColumn("ranker", F.lit(name)) for name, r in rankers.items()]
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
     return metrics.ladder(every)
 
 
+@query
+def ladder_of_indexes(spark, folder):
+    """The ladder of the three rankers that need no graph."""
+    index, cases, _, lexical, dense = _case_rankings(spark, folder, 2000)
+    lexical, dense = materialize(lexical, "lexical"), materialize(dense, "dense")
+    return _ladder({"bm25": lexical, "vector": dense, "rrf": rank.rrf([lexical, dense], 2000)}, _relevant(spark, folder, index, cases), cases)
+
+
 @query
 def exclusion_audit(spark, folder):
     return rank.exclusion_audit(table(spark, folder, "chunks"), _excluded(spark, folder))
@@ -234,6 +246,33 @@ def lost_nodes(spark, folder):
     return m.select("node").distinct().join(graph.live_nodes(m, _excluded(spark, folder)), "node", "left_anti")
 
 
+@query
+def node_spellings(spark, folder):
+    """How often each node is spelled and typed how."""
+    each = graph.node_variants(_graph(spark, folder)[0])
+    flat = lambda c: each.select("node", F.lit(c).alias("kind"), F.explode(c).alias("value", "n"))
+    return flat("variants").unionByName(flat("types"))
+
+
+@query
+def edge_predicates(spark, folder):
+    return graph.edge_predicates(_graph(spark, folder)[1])
+
+
+@query
+def build_stats(spark, folder):
+    clean = _clean(spark, folder)
+    m, _, edge = _graph(spark, folder)
+    return graph.build_stats(clean, m, edge).drop("resolution")
+
+
+@query
+def relation_lines(spark, folder):
+    m, r, edge = _graph(spark, folder)
+    lines = graph.relation_lines(graph.top_members(_type_assignment(m), edge), edge, r)
+    return lines.select("community_id", F.explode("lines").alias("line"))
+
+
 @query
 def top_members(spark, folder):
     m, _, edge = _graph(spark, folder)
@@ -299,14 +338,101 @@ def license_gate(spark, folder):
     return corpus.gate(table(spark, folder, "corpus_docs").select("pmcid", "license_code").distinct())
 
 
+def _first_copies(spark, folder):
+    """(pmcid, md5): the row of a document that was fetched first, the copy that is stored."""
+    docs = table(spark, folder, "corpus_docs").filter("pmcid IS NOT NULL")
+    return docs.groupBy("pmcid").agg(F.min_by("md5", F.struct("version", corpus.fetch_date(F.col("fetched_at")).alias("date"), F.coalesce("md5", F.lit("")).alias("md5"))).alias("md5"))
+
+
 @query
 def corpus_status(spark, folder):
-    """Documents of the corpus table against documents that have chunks."""
-    want = table(spark, folder, "corpus_docs").filter("pmcid IS NOT NULL").select(F.col("pmcid").alias("doc_id")).distinct().withColumn("md5", F.lit("x"))
-    have = table(spark, folder, "chunks").filter("doc_id IS NOT NULL").select("doc_id").distinct().withColumn("md5", F.lit("x"))
+    """The latest versions of the corpus table against the first copies of those documents that have chunks."""
+    want = corpus.latest_documents(table(spark, folder, "corpus_docs")).select(F.col("pmcid").alias("doc_id"), "md5")
+    chunked = table(spark, folder, "chunks").filter("doc_id IS NOT NULL").select("doc_id").distinct()
+    have = chunked.join(_first_copies(spark, folder).withColumnRenamed("pmcid", "doc_id"), "doc_id", "left")
     return corpus.status(want, have)
 
 
+def _sync(spark, folder):
+    """First copies are pinned; what has chunks is stored in its latest form; upstream has the latest of all."""
+    latest = corpus.latest_documents(table(spark, folder, "corpus_docs"))
+    chunked = table(spark, folder, "chunks").select(F.col("doc_id").alias("pmcid")).distinct()
+    return corpus.sync(_first_copies(spark, folder), latest.select("pmcid", "md5").join(chunked, "pmcid", "left_semi"), latest)
+
+
+@query
+def sync_outcomes(spark, folder):
+    return _sync(spark, folder)
+
+
+@query
+def outcome_counts(spark, folder):
+    return _sync(spark, folder).groupBy("outcome").agg(F.count(F.lit(1)).alias("documents"))
+
+
+@query
+def candidate_list(spark, folder):
+    """Twins as seeds, authors in common as links, all other documents as topical finds, up to a thousand that aren't forced."""
+    latest = corpus.latest_documents(table(spark, folder, "corpus_docs"))
+    seeds = table(spark, folder, "twins").select("pmcid").distinct()
+    links = corpus.shared_authors(latest, seeds.select(F.col("pmcid").alias("query_id"), "pmcid")).select(F.col("query_id").alias("citing"), F.col("doc_id").alias("cited"))
+    found = corpus.citation_candidates(seeds, links, latest.filter(corpus.refusal(latest).isNull()).select("pmcid"))
+    return corpus.within_target(found, 1000).select("pmcid", F.col("class").cast("long"), "forced")
+
+
+@query
+def upserted_documents(spark, folder):
+    """First copies with the rows of later versions put in their place."""
+    first = _first_copies(spark, folder)
+    later = corpus.latest_documents(table(spark, folder, "corpus_docs")).filter("version > 1").select("pmcid", "md5")
+    return corpus.upsert(first, later, "pmcid")
+
+
+@query
+def excluded_by_preprint(spark, folder):
+    twins = table(spark, folder, "twins")
+    return corpus.excluded_documents(twins, twins.select("preprint_doi"))
+
+
+def _manuscripts(spark, folder):
+    """(preprint_doi, title, body): a twin with the longest text of its document."""
+    longest = F.struct(F.length("text"), "text")
+    body = table(spark, folder, "documents").filter("pmcid is not null and text is not null").groupBy("pmcid").agg(F.max_by("text", longest).alias("body"))
+    return table(spark, folder, "twins").groupBy("preprint_doi").agg(F.min_by("title", "pmcid").alias("title"), F.min("pmcid").alias("pmcid")).join(body, "pmcid", "left").select("preprint_doi", "title", "body")
+
+
+@query
+def query_cases(spark, folder):
+    """Cases of the twins; documents with an author in common count as cited."""
+    twins = table(spark, folder, "twins").select("preprint_doi", "pmcid").distinct()
+    cited = corpus.shared_authors(corpus.latest_documents(table(spark, folder, "corpus_docs")), twins.select(F.col("preprint_doi").alias("query_id"), "pmcid"))
+    cases, _ = review.query_cases(_manuscripts(spark, folder), twins, cited.withColumnRenamed("query_id", "preprint_doi"), _index(spark, folder).select("doc_id"))
+    return cases.select("preprint_doi", "query", F.array_join("relevant_docs", ",").alias("relevant"), F.array_join("excluded_docs", ",").alias("excluded"))
+
+
+@query
+def derived_queries(spark, folder):
+    return review.derived_queries(_manuscripts(spark, folder)).select("preprint_doi", F.col("nr").cast("long"), "query")
+
+
+@query
+def planted_errors(spark, folder):
+    """Errors planted into every document, one of each kind that finds a place in its first 900 words."""
+    docs = table(spark, folder, "documents").filter("doc_id is not null").groupBy("doc_id").agg(F.min("text").alias("text"))
+    return planting.plant(docs, window_words=900)[1]
+
+
+@query
+def planted_detection(spark, folder):
+    """Which planted errors the findings of each model name and assert, for documents that findings cite, by model and document."""
+    docs = table(spark, folder, "documents").filter("pmcid is not null and text is not null").groupBy("pmcid").agg(F.max_by("text", F.struct(F.length("text"), "text")).alias("text"))
+    f = _findings(spark, folder).filter("model is not null").select(F.col("model").alias("arm"), "text", F.explode("evidence_chunk_ids").alias("c")).select("arm", "text", tx.doc_of(F.col("c")).alias("source")).distinct()
+    cited = docs.join(f.select(F.col("source").alias("pmcid")).distinct(), "pmcid", "left_semi").withColumnRenamed("pmcid", "doc_id")
+    planted, errors = planting.plant(cited, window_words=900)
+    e = materialize(errors, "errors").join(planted.select("doc_id", F.col("text").alias("manuscript")), "doc_id").select(F.col("doc_id").alias("source"), "error_id", "token", "manuscript")
+    return records.planted_scores(materialize(e, "scored"), f)
+
+
 @query
 def attribution(spark, folder):
     return corpus.attribution(corpus.latest_documents(table(spark, folder, "corpus_docs")))
@@ -387,10 +513,34 @@ def finding_claims(spark, folder):
     return review.claims(texts, "panel")
 
 
+@query
+def verdicts(spark, folder):
+    """Each finding with evidence as a claim, judged in both orders by a rule that reads only the first chunk that exists: it supports a
+    claim whose quote stands there, and can't tell otherwise."""
+    f = _findings(spark, folder).filter("evidence_chunk_ids is not null").select(F.col("finding_id").alias("claim_id"), "quote", F.array_distinct("evidence_chunk_ids").alias("chunk_ids"))
+    ranked = f.select("claim_id", F.posexplode("chunk_ids").alias("rank", "chunk_id")).join(_index(spark, folder).select("chunk_id", "text"), "chunk_id")
+    held = ranked.join(f.select("claim_id", "quote"), "claim_id").select("claim_id", "rank", "chunk_id", "quote", F.coalesce((tx.squeeze(F.col("quote")) != "") & F.contains(tx.squeeze(F.col("text")), tx.squeeze(F.col("quote"))), F.lit(False)).alias("holds"))
+    row = F.struct("chunk_id", "quote", "holds")
+    ends = held.groupBy("claim_id").agg(F.min_by(row, "rank").alias("first"), F.max_by(row, "rank").alias("last"))
+    judged = ends.select("claim_id", F.posexplode(F.array("first", "last")).alias("ord", "x"))
+    spans = F.when(F.col("x.holds"), F.array(F.struct("x.chunk_id", "x.quote")))
+    judged = judged.select("claim_id", "ord", F.when(F.col("x.holds"), records.SUPPORTS).otherwise(records.OPEN).alias("verdict"), spans.alias("spans"))
+    out = records.swap_verdicts(judged, f)
+    return out.select("claim_id", "verdict", F.array_join(F.transform("spans", lambda x: x["chunk_id"]), ",").alias("cited"), "swapped", "swap_consistent")
+
+
+@query
+def pooled_findings(spark, folder):
+    """The findings of a reviewer over all its runs, each text once."""
+    f = _findings(spark, folder)
+    return records.pooled_findings(f.select(F.col("dimension").alias("source"), F.col("reviewer").alias("arm"), F.col("run_id").alias("sample"), "text")).select("source", "arm", "text", "samples")
+
+
 @query
 def token_collisions(spark, folder):
-    """In how many corpus documents the first word of a twin's title stands."""
-    token = table(spark, folder, "twins").select(F.split_part(F.trim("title"), F.lit(" "), F.lit(1)).alias("token")).distinct()
+    """In how many corpus documents a twin's whole title stands, and each of its words."""
+    titles = table(spark, folder, "twins").select(F.trim("title").alias("title"))
+    token = titles.select(F.explode(F.array_append(F.split("title", " "), F.col("title"))).alias("token")).filter("token <> ''").distinct()
     return records.token_collisions(token, _index(spark, folder).select("doc_id", "text"))
 
 
@@ -399,6 +549,17 @@ def lens_findings(spark, folder):
     return lens.lens(_index(spark, folder), "chunk_id").withColumnRenamed("id", "chunk_id")
 
 
+@query
+def reference_checks(spark, folder):
+    """The rule checks over a bibliography of each author: a line for every row of the corpus table, fetched again or not, with its DOI as given."""
+    docs = table(spark, folder, "corpus_docs").filter("pmcid is not null")
+    rows = docs.select(F.explode(F.array_distinct("authors")).alias("author"), "pmcid", "version", F.coalesce("doi", F.lit("")).alias("doi"), F.coalesce(tx.squeeze(F.col("title")), F.lit("")).alias("title")).distinct()
+    entries = rows.groupBy("author").agg(F.array_sort(F.collect_list(F.struct("pmcid", "version", "doi", "title"))).alias("e"))
+    lines = F.transform("e", lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x["title"], F.lit(" doi: "), x["doi"]))
+    texts = entries.select("author", F.concat(F.lit("As said in ["), (F.size("e") + 1).cast("string"), F.lit("].\nReferences\n"), F.array_join(lines, "\n")).alias("text"))
+    return lens.lens(texts, "author").select(F.col("id").alias("author"), F.col("line_no").cast("long").alias("line_no"), "check", "severity", "detail")
+
+
 @query
 def citation_dois(spark, folder):
     """The DOI in a document's citation against its own, both normalised."""

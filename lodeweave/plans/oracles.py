@@ -53,6 +53,11 @@ dense AS (SELECT * FROM (SELECT query_id, chunk_id, score, row_number() OVER (PA
 RANKED = """
 firsts AS (SELECT query_id, split_part(chunk_id, ':', 1) AS doc_id, min(rank) AS first FROM hits GROUP BY 1, 2),
 alldocs AS (SELECT query_id, doc_id, first, row_number() OVER (PARTITION BY query_id ORDER BY first) AS doc_rank FROM firsts)"""
+METRICS = """
+h AS (SELECT r.query_id, r.doc_id, d.doc_rank FROM relevant r LEFT JOIN (SELECT * FROM {docs} WHERE doc_rank <= 30) d USING (query_id, doc_id)),
+c AS (SELECT query_id, count(*) AS n, count(*) FILTER (doc_rank <= 10) AS found, count(*) FILTER (doc_rank <= 30) AS found_3k, sum(CASE WHEN doc_rank <= 10 THEN 1 / log2(doc_rank + 1e0) ELSE 0 END) AS dcg FROM h GROUP BY 1),
+metrics AS (SELECT query_id, coalesce(n, 0) AS relevant, coalesce(found, 0) AS found, coalesce(found_3k, 0) AS found_3k, coalesce(round(found / n, 6), 0) AS recall, coalesce(round(least(n, 10) / n, 6), 0) AS ceiling,
+  coalesce(round(dcg / list_sum(list_transform(range(1, least(n, 10) + 1), lambda i: 1 / log2(i + 1e0))), 6), 0) AS ndcg FROM (SELECT DISTINCT query_id FROM cases) LEFT JOIN c USING (query_id))"""
 ITEMS = "items AS (SELECT item_id AS query_id, min(text) AS text FROM eval_items WHERE text IS NOT NULL GROUP BY 1)"
 
 
@@ -75,15 +80,19 @@ NODES = """
 nn AS (SELECT node, count(*) AS n_mentions, count(DISTINCT chunk_id) AS n_chunks FROM ments GROUP BY 1),
 nm AS (SELECT node, name FROM (SELECT node, name, row_number() OVER (PARTITION BY node ORDER BY count(*) DESC, name) AS nr FROM ments GROUP BY 1, 2) WHERE nr = 1),
 nt AS (SELECT node, type FROM (SELECT node, type, row_number() OVER (PARTITION BY node ORDER BY count(*) DESC, type) AS nr FROM ments GROUP BY 1, 2) WHERE nr = 1)"""
+PREDICATES = f"""
+prels AS (SELECT least(s, t) AS src, greatest(s, t) AS dst, predicate FROM (SELECT r.chunk_id, r.predicate, lower({squeeze('r.source')}) AS s, lower({squeeze('r.target')}) AS t FROM (SELECT chunk_id, unnest(relations) AS r FROM best) r) r
+          JOIN cn a ON a.chunk_id = r.chunk_id AND a.node = s JOIN cn b ON b.chunk_id = r.chunk_id AND b.node = t WHERE s <> t),
+preds AS (SELECT src, dst, predicate FROM (SELECT src, dst, predicate, row_number() OVER (PARTITION BY src, dst ORDER BY count(*) DESC, predicate NULLS FIRST) AS nr FROM prels GROUP BY 1, 2, 3) WHERE nr = 1)"""
 TOPS = f"""
 deg AS (SELECT node, sum(weight) AS degree FROM (SELECT src AS node, weight FROM edge UNION ALL SELECT dst, weight FROM edge) GROUP BY 1),
 asg AS (SELECT node, CAST(list_position(['gene_or_protein', 'chemical', 'organism', 'method_or_tool', 'process_or_phenotype', 'other'], type) - 1 AS INT) AS community_id FROM nt),
 cs AS (SELECT community_id, count(*) AS size FROM asg GROUP BY 1 HAVING count(*) >= 3),
 tops AS (SELECT * FROM (SELECT community_id, size, row_number() OVER (PARTITION BY community_id ORDER BY coalesce(degree, 0.0e0) DESC, node) AS rank, node, coalesce(degree, 0.0e0) AS degree
          FROM asg LEFT JOIN deg USING (node) JOIN cs USING (community_id)) WHERE rank <= 30)"""
-CANDIDATES = f"""
-ct AS (SELECT query_id, t, count(*) AS n FROM (SELECT query_id, unnest({toks('text')}) AS t FROM cases) WHERE length(t) >= 6 AND regexp_matches(t, '[a-z]') GROUP BY 1, 2),
-terms AS (SELECT query_id, t AS term FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, t) AS nr FROM ct) WHERE nr <= 12
+STOP = "a an the this that these those it its we our they their which who what of in on at by for from to into with without within between during after before under over through via and or but nor than as if when while because how not no is are was were be been has have had can may does do".split()
+CANDIDATES = rf"""
+terms AS (SELECT query_id, t AS term FROM (SELECT query_id, trim(unnest(string_split(regexp_replace(lower({squeeze('text')}), '[^\p{{L}}\p{{N}} -]|\b(?:{'|'.join(STOP)})\b', '|', 'g'), '|'))) AS t FROM cases) WHERE length(t) >= 3 AND regexp_matches(t, '\p{{L}}')
           UNION SELECT query_id, t FROM (SELECT query_id, unnest(string_split(lower({squeeze('text')}), ' ')) AS t FROM cases) WHERE length(t) >= 4)"""
 LOCAL = """
 held AS (SELECT * FROM cn WHERE chunk_id IN (SELECT chunk_id FROM idx)),
@@ -116,6 +125,14 @@ RELEVANT = """
 au AS (SELECT DISTINCT pmcid, unnest(authors) AS author FROM latest),
 near AS (SELECT DISTINCT t.pmcid AS query_id, b.pmcid AS doc_id FROM (SELECT DISTINCT pmcid FROM twins) t JOIN au a ON a.pmcid = t.pmcid JOIN au b ON a.author = b.author AND b.pmcid <> t.pmcid),
 relevant AS (SELECT * FROM near WHERE doc_id IN (SELECT doc_id FROM idx))"""
+FETCHED = "coalesce(try_strptime(fetched_at, '%Y-%m-%d'), try_strptime(fetched_at, '%d/%m/%Y'), try_strptime(substr(fetched_at, 1, 10), '%Y-%m-%d'))"
+FIRST = f"""
+firsts AS (SELECT pmcid, md5 FROM (SELECT *, row_number() OVER (PARTITION BY pmcid ORDER BY version NULLS FIRST, {FETCHED} NULLS FIRST, coalesce(md5, '')) AS nr FROM corpus_docs WHERE pmcid IS NOT NULL) WHERE nr = 1),
+chunked AS (SELECT DISTINCT doc_id AS pmcid FROM chunks WHERE doc_id IS NOT NULL)"""
+SYNC = f"""
+outcomes AS (SELECT f.pmcid, CASE WHEN c.pmcid IS NOT NULL AND l.md5 = f.md5 THEN 'cached' WHEN l.pmcid IS NULL THEN 'missing_upstream'
+    WHEN coalesce({LICENSE}, '') NOT IN ('CC0', 'CC BY') THEN 'license_refused' WHEN l.md5 IS NOT DISTINCT FROM f.md5 THEN 'fetched' ELSE 'md5_mismatch' END AS outcome
+  FROM firsts f LEFT JOIN latest l USING (pmcid) LEFT JOIN chunked c USING (pmcid))"""
 FINDINGS = "finds AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY finding_id ORDER BY received_at DESC) AS nr FROM review_findings WHERE finding_id IS NOT NULL) WHERE nr = 1)"
 GROUND = f"""
 ev AS (SELECT finding_id, quote, unnest(list_distinct(evidence_chunk_ids)) AS chunk_id FROM finds),
@@ -167,24 +184,48 @@ votes AS (SELECT query_id, chunk_id, round(sum(1e0 / (60 + rank)), 6) AS score F
     "depth_reached": f"""WITH {RUN}, {CASES}, {bm25('cases', 2000)}, {RANKED},
 need AS (SELECT query_id, count(*) AS documents, max(CASE WHEN doc_rank = 30 THEN first END) AS need FROM alldocs GROUP BY 1)
 SELECT query_id, least(documents, 30) AS documents, CAST(CASE WHEN need IS NULL THEN 2000 WHEN need <= 120 THEN 120 WHEN need <= 240 THEN 240 WHEN need <= 480 THEN 480 WHEN need <= 960 THEN 960 WHEN need <= 1920 THEN 1920 ELSE 2000 END AS BIGINT) AS chunk_depth FROM need""",
-    "case_metrics": f"""WITH {RUN}, {CASES}, {bm25('cases', 2000)}, {RANKED}, {LATEST}, {RELEVANT},
-h AS (SELECT r.query_id, r.doc_id, d.doc_rank FROM relevant r LEFT JOIN (SELECT * FROM alldocs WHERE doc_rank <= 30) d USING (query_id, doc_id)),
-c AS (SELECT query_id, count(*) AS relevant, count(*) FILTER (doc_rank <= 10) AS found, count(*) FILTER (doc_rank <= 30) AS found_3k, sum(CASE WHEN doc_rank <= 10 THEN 1 / log2(doc_rank + 1e0) ELSE 0 END) AS dcg FROM h GROUP BY 1)
-SELECT query_id, relevant, found, found_3k, round(found / relevant, 6) AS recall, round(least(relevant, 10) / relevant, 6) AS ceiling,
-  round(dcg / list_sum(list_transform(range(1, least(relevant, 10) + 1), lambda i: 1 / log2(i + 1e0))), 6) AS ndcg FROM c""",
+    "case_metrics": f"WITH {RUN}, {CASES}, {bm25('cases', 2000)}, {RANKED}, {LATEST}, {RELEVANT}, {METRICS.format(docs='alldocs')} SELECT * FROM metrics",
+    "ladder_of_indexes": f"""WITH {RUN}, {CASES}, {bm25('cases', 2000)}, {DENSE.format(k=2000)}, {LATEST}, {RELEVANT},
+fused AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM (
+  SELECT query_id, chunk_id, round(sum(1e0 / (60 + rank)), 6) AS score FROM (SELECT query_id, chunk_id, rank FROM hits UNION ALL SELECT query_id, chunk_id, rank FROM dense) GROUP BY 1, 2)),
+every AS (SELECT 'bm25' AS ranker, query_id, chunk_id, rank FROM hits UNION ALL SELECT 'vector', query_id, chunk_id, rank FROM dense UNION ALL SELECT 'rrf', query_id, chunk_id, rank FROM fused WHERE rank <= 2000),
+ranked AS (SELECT ranker, query_id, doc_id, row_number() OVER (PARTITION BY ranker, query_id ORDER BY first) AS doc_rank FROM (SELECT ranker, query_id, split_part(chunk_id, ':', 1) AS doc_id, min(rank) AS first FROM every GROUP BY 1, 2, 3)),
+m AS ({' UNION ALL '.join(f"SELECT '{r}' AS ranker, * FROM (WITH one AS (SELECT * FROM ranked WHERE ranker = '{r}'), {METRICS.format(docs='one')} SELECT * FROM metrics)" for r in ('bm25', 'vector', 'rrf'))})
+SELECT ranker, count(*) AS cases, CAST(sum(relevant) AS BIGINT) AS relevant, CAST(sum(found) AS BIGINT) AS found, CAST(sum(found_3k) AS BIGINT) AS found_3k, round(CASE WHEN sum(relevant) >= 20 THEN avg(recall) END, 6) AS recall, round(CASE WHEN sum(relevant) >= 20 THEN avg(ceiling) END, 6) AS ceiling,
+  round(CASE WHEN sum(relevant) >= 20 THEN avg(ndcg) END, 6) AS ndcg, round(CASE WHEN sum(relevant) >= 20 THEN coalesce(avg(CASE WHEN ceiling > 0 THEN recall / ceiling END), 0) END, 6) AS share_of_ceiling FROM m GROUP BY 1""",
     "exclusion_audit": f"WITH {FULL} SELECT doc_id, count(*) AS dropped_chunks FROM idx WHERE doc_id IN (SELECT doc_id FROM excluded) GROUP BY 1",
     "graph_nodes": f"WITH {mentions()}, {NODES} SELECT node, n_mentions, n_chunks, name AS display_name, type AS node_type FROM nn JOIN nm USING (node) JOIN nt USING (node)",
     "graph_edges": f"WITH {mentions()} SELECT src, dst, weight, n_chunks, n_relations FROM edge",
     "graph_exclusion_delta": f"WITH f AS (WITH {mentions()} SELECT * FROM edge), k AS (WITH {mentions(WITHOUT)} SELECT * FROM edge) SELECT f.src, f.dst, f.weight AS full_weight, coalesce(k.weight, 0.0e0) AS run_weight FROM f LEFT JOIN k USING (src, dst) WHERE f.weight <> coalesce(k.weight, 0)",
     "lost_nodes": f"WITH {mentions()} SELECT node FROM cn GROUP BY 1 HAVING count(*) FILTER (split_part(chunk_id, ':', 1) NOT IN (SELECT pmcid FROM twins)) = 0",
+    "node_spellings": f"""WITH {mentions()} SELECT node, 'variants' AS kind, name AS value, count(*) AS n FROM ments GROUP BY 1, 3 UNION ALL SELECT node, 'types', type, count(*) FROM ments GROUP BY 1, 3""",
+    "edge_predicates": f"WITH {mentions()}, {PREDICATES} SELECT src, dst, predicate FROM preds",
+    "build_stats": f"""WITH {mentions()} SELECT 'chunks' AS measure, count(*) AS value FROM best UNION ALL SELECT 'nodes', count(DISTINCT node) FROM ments UNION ALL SELECT 'edges', count(*) FROM edge
+UNION ALL SELECT 'truncated_chunks', count(*) FROM (SELECT chunk_id FROM chunk_extractions WHERE chunk_id IS NOT NULL GROUP BY 1 HAVING bool_and(coalesce(truncated, false)))""",
+    "relation_lines": f"""WITH {mentions()}, {NODES}, {TOPS}, {PREDICATES}
+SELECT a.community_id, p.src || ' -[' || coalesce(predicate, '') || ']- ' || p.dst AS line FROM preds p JOIN tops a ON a.node = p.src JOIN tops b ON b.node = p.dst AND a.community_id = b.community_id""",
     "top_members": f"WITH {mentions()}, {NODES}, {TOPS} SELECT community_id, size, rank, node, degree FROM tops",
     "graph_local_search": f"WITH {RUN}, {CASES}, {mentions(WITHOUT)}, {CANDIDATES}, {LOCAL} {TOP10}",
     "graph_global_search": f"WITH {RUN}, {CASES}, {mentions(WITHOUT)}, {NODES}, {TOPS}, {PLUS} {TOP10}",
     "ranked_reports": f"WITH {RUN}, {CASES}, {mentions(WITHOUT)}, {NODES}, {TOPS}, {PLUS} SELECT query_id, CAST(community_id AS BIGINT) AS community_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, community_id) AS rank FROM best8",
     "latest_documents": f"WITH {LATEST} SELECT pmcid, version, {LICENSE} AS license, {squeeze('title')} AS title, coalesce(len(authors), 0) AS n_authors FROM latest",
     "license_gate": f"SELECT pmcid, reason IS NULL AS accepted, reason FROM (SELECT pmcid, CASE WHEN l IS NULL THEN 'no licence' WHEN l NOT IN ('CC0', 'CC BY') THEN 'licence ' || l END AS reason FROM (SELECT DISTINCT pmcid, license_code, {LICENSE} AS l FROM corpus_docs))",
-    "corpus_status": """SELECT coalesce(m.doc_id, s.doc_id) AS doc_id, CASE WHEN s.doc_id IS NULL THEN 'missing' WHEN m.doc_id IS NULL THEN 'orphan' ELSE 'ok' END AS outcome
-FROM (SELECT DISTINCT pmcid AS doc_id FROM corpus_docs WHERE pmcid IS NOT NULL) m FULL JOIN (SELECT DISTINCT doc_id FROM chunks WHERE doc_id IS NOT NULL) s ON m.doc_id = s.doc_id""",
+    "corpus_status": f"""WITH {LATEST}, {FIRST}
+SELECT coalesce(m.pmcid, s.pmcid) AS doc_id, CASE WHEN s.pmcid IS NULL THEN 'missing' WHEN m.pmcid IS NULL THEN 'orphan' WHEN m.md5 IS NULL OR s.md5 IS NULL THEN 'unknown' WHEN m.md5 = s.md5 THEN 'ok' ELSE 'changed' END AS outcome
+FROM latest m FULL JOIN (SELECT c.pmcid, f.md5 FROM chunked c LEFT JOIN firsts f USING (pmcid)) s ON m.pmcid = s.pmcid""",
+    "sync_outcomes": f"WITH {LATEST}, {FIRST}, {SYNC} SELECT pmcid, outcome FROM outcomes",
+    "outcome_counts": f"WITH {LATEST}, {FIRST}, {SYNC} SELECT outcome, count(*) AS documents FROM outcomes GROUP BY 1",
+    "candidate_list": f"""WITH {FULL}, {LATEST}, {RELEVANT},
+c AS (SELECT pmcid, min(class) AS class FROM (SELECT pmcid, 0 AS class FROM twins UNION ALL SELECT doc_id, 1 FROM near UNION ALL SELECT pmcid, 2 FROM latest WHERE {LICENSE} IN ('CC0', 'CC BY')) GROUP BY 1),
+n AS (SELECT *, row_number() OVER (PARTITION BY class = 0 ORDER BY class, pmcid) AS nr FROM c)
+SELECT pmcid, CAST(class AS BIGINT) AS class, class = 0 AS forced FROM n WHERE class = 0 OR nr <= 1000 - (SELECT count(*) FROM c WHERE class = 0)""",
+    "upserted_documents": f"WITH {LATEST}, {FIRST} SELECT f.pmcid, CASE WHEN l.version > 1 THEN l.md5 ELSE f.md5 END AS md5 FROM firsts f JOIN latest l USING (pmcid)",
+    "excluded_by_preprint": "SELECT preprint_doi, pmcid AS doc_id FROM twins",
+    "query_cases": f"""WITH {FULL}, {LATEST}, au AS (SELECT DISTINCT pmcid, unnest(authors) AS author FROM latest), st AS (SELECT DISTINCT doc_id FROM idx),
+own AS (SELECT preprint_doi, string_agg(DISTINCT pmcid, ',' ORDER BY pmcid) AS excluded FROM twins WHERE pmcid IN (SELECT doc_id FROM st) GROUP BY 1),
+nr AS (SELECT DISTINCT t.preprint_doi, b.pmcid AS doc_id FROM twins t JOIN au a ON a.pmcid = t.pmcid JOIN au b ON a.author = b.author AND b.pmcid <> t.pmcid WHERE b.pmcid IN (SELECT doc_id FROM st) AND (t.preprint_doi, b.pmcid) NOT IN (SELECT (preprint_doi, pmcid) FROM twins)),
+rl AS (SELECT preprint_doi, string_agg(doc_id, ',' ORDER BY doc_id) AS relevant FROM nr GROUP BY 1)
+SELECT preprint_doi, t.title AS query, coalesce(relevant, '') AS relevant, excluded FROM (SELECT preprint_doi, arg_min(title, pmcid) AS title FROM twins GROUP BY 1) t JOIN own USING (preprint_doi) LEFT JOIN rl USING (preprint_doi)""",
     "attribution": f"""WITH {LATEST} SELECT pmcid, (CASE WHEN coalesce(array_to_string(authors[:3], ', '), '') = '' THEN 'Anonymous' ELSE array_to_string(authors[:3], ', ') END)
   || (CASE WHEN len(authors) > 3 THEN ' et al.' ELSE '' END) || '. ' || coalesce({squeeze('title')}, '') || '. ' || coalesce({LICENSE}, 'no licence') || '. ' || coalesce(source_url, '') AS line FROM latest""",
     "related_by_author": f"WITH {FULL}, {LATEST}, {RELEVANT} SELECT query_id, doc_id FROM near",
@@ -213,10 +254,25 @@ t AS (SELECT run_id, count(*) AS conflicts FROM (SELECT run_id, dimension FROM s
 c AS (SELECT run_id, count(*) AS calls, CAST(sum(p) AS BIGINT) AS prompt_tokens, max(p) AS largest_prompt FROM calls GROUP BY 1)
 SELECT run_id, coalesce(findings, 0) AS findings, coalesce(dropped_ids, 0) AS dropped_ids, coalesce(grounded, 0) AS grounded, coalesce(conflicts, 0) AS conflicts, calls, prompt_tokens, largest_prompt
 FROM c LEFT JOIN h USING (run_id) LEFT JOIN g USING (run_id) LEFT JOIN t USING (run_id)""",
-    "token_collisions": f"""WITH {FULL}, t AS (SELECT DISTINCT split_part(trim(title), ' ', 1) AS token FROM twins)
+    "token_collisions": f"""WITH {FULL}, t AS (SELECT DISTINCT token FROM (SELECT trim(title) AS token FROM twins UNION ALL SELECT unnest(string_split(trim(title), ' ')) FROM twins) WHERE token <> '')
 SELECT token, count(DISTINCT doc_id) AS documents FROM t LEFT JOIN idx ON contains(lower(text), lower(token)) GROUP BY 1""",
+    "verdicts": f"""WITH {FULL}, {FINDINGS},
+cl AS (SELECT finding_id AS claim_id, quote, evidence_chunk_ids AS ids FROM finds WHERE evidence_chunk_ids IS NOT NULL),
+rk AS (SELECT claim_id, quote, i.chunk_id, list_position(ids, i.chunk_id) AS rank, coalesce({squeeze('quote')} <> '' AND contains({squeeze('i.text')}, {squeeze('quote')}), false) AS holds FROM (SELECT *, unnest(list_distinct(ids)) AS chunk_id FROM cl) e JOIN idx i USING (chunk_id)),
+en AS (SELECT claim_id, arg_min(chunk_id, rank) AS c0, arg_min(holds, rank) AS h0, arg_max(chunk_id, rank) AS c1, arg_max(holds, rank) AS h1, min(rank) AS r0, max(rank) AS r1 FROM rk GROUP BY 1)
+SELECT claim_id, CASE WHEN h0 AND h1 THEN 'SUPPORTS' ELSE 'NOT_ENOUGH_INFO' END AS verdict, CASE WHEN h0 AND h1 THEN CASE WHEN c0 = c1 THEN c0 ELSE c0 || ',' || c1 END ELSE '' END AS cited, len(ids) > 0 AS swapped, len(ids) = 0 OR coalesce(h0, false) = coalesce(h1, false) AS swap_consistent FROM cl LEFT JOIN en USING (claim_id)""",
+    "pooled_findings": f"WITH {FINDINGS} SELECT dimension AS source, reviewer AS arm, text, count(DISTINCT run_id) AS samples FROM finds WHERE text IS NOT NULL GROUP BY 1, 2, 3",
     "citation_dois": rf"""WITH c AS (SELECT pmcid, lower(rtrim(regexp_extract(citation, '(?i)(?:\bdoi\s*[:=]\s*|https?://(?:dx\.)?doi\.org/)(\S+)', 1), '.,;:)]}}’"''')) AS cited,
   lower(regexp_replace({squeeze('doi')}, '(?i)^(https?://(dx\.)?doi\.org/|doi\s*[:=]?\s*)', '')) AS own FROM corpus_docs)
 SELECT DISTINCT pmcid, nullif(cited, '') AS cited, o AS own, nullif(cited, '') = o AS same FROM (SELECT *, CASE WHEN regexp_matches(own, '^10\.\d{{4,9}}/\S+$') THEN own END AS o FROM c)""",
+    "reference_checks": rf"""WITH r AS (SELECT DISTINCT author, pmcid, version, coalesce(doi, '') AS doi, coalesce({squeeze('title')}, '') AS title FROM (SELECT *, unnest(list_distinct(authors)) AS author FROM corpus_docs WHERE pmcid IS NOT NULL)),
+n AS (SELECT *, row_number() OVER (PARTITION BY author ORDER BY pmcid, version NULLS FIRST, doi, title) AS nr FROM r),
+l AS (SELECT author, nr + 2 AS line_no, regexp_extract_all(title || ' doi: ' || doi, '(?i)(?:https?://(?:dx\.)?doi\.org/|\bdoi\s*[:=]\s*)([^{WS}]+)', 1) AS ds FROM n),
+d AS (SELECT author, line_no, generate_subscripts(ds, 1) AS pl, lower(rtrim(unnest(ds), '.,;:)]}}’"''')) AS doi FROM l),
+k AS (SELECT *, regexp_matches(doi, '^10\.[0-9]{{4,9}}/[^{WS}]+$') AS good FROM d),
+w AS (SELECT *, row_number() OVER (PARTITION BY author, doi ORDER BY line_no, pl) AS nr, first_value(line_no) OVER (PARTITION BY author, doi ORDER BY line_no, pl) AS f FROM k WHERE good)
+SELECT author, line_no, 'reference_integrity' AS "check", 'minor' AS severity, doi || ': no valid DOI' AS detail FROM k WHERE NOT good
+UNION ALL SELECT author, line_no, 'reference_integrity', 'minor', doi || ': listed before, in line ' || f FROM w WHERE nr > 1
+UNION ALL SELECT author, 1, 'reference_integrity', 'major', 'cites number ' || (count(*) + 1) || ' of a list of ' || count(*) FROM n GROUP BY 1""",
     "event_windows": "SELECT event_type, date_trunc('hour', ts) AS hour, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
 }

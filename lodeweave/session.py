@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,22 +32,45 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors share; a local one only where it is unset."""
+    """The folder in spark.checkpoint.dir, which all executors share. Where it is unset a local session gets a folder of its own,
+    which goes with the process; on a cluster that would be another folder on every machine, so it raises."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
-        shared = "file://" + tempfile.mkdtemp(prefix="lodeweave-")
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        made = tempfile.mkdtemp(prefix="lodeweave-")
+        atexit.register(shutil.rmtree, made, ignore_errors=True)
+        shared = "file://" + made
         spark.conf.set("spark.checkpoint.dir", shared)
     return shared.rstrip("/")
 
 
+#: Paths of the stages written, newest last, for those who delete them.
+_written: list[str] = []
+
+
 def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write df once to the shared folder and read it back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}.parquet"
+    _written.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def stages(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end all that was materialized inside; results must be written or collected by then."""
+    before = len(_written)
+    try:
+        yield
+    finally:
+        for path in _written[before:]:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        del _written[before:]
+
+
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast only after counting that df has at most `limit` rows."""
     few = df.limit(limit + 1).count() <= limit

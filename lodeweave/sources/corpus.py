@@ -22,29 +22,66 @@ def clean_doi(doi: Column) -> Column:
     return F.when(bare.rlike(r"^10\.\d{4,9}/\S+$"), bare)
 
 
+def fetch_date(text: Column) -> Column:
+    """The date of a fetch in either form, whatever follows it."""
+    return F.coalesce(F.try_to_date(text, "yyyy-MM-dd"), F.try_to_date(text, "dd/MM/yyyy"), F.try_to_date(F.substring(text, 1, 10), "yyyy-MM-dd"))
+
+
 def latest_documents(docs: DataFrame) -> DataFrame:
     """One row per pmcid: the greatest version, then the latest date, whichever of the two forms it has."""
-    date = F.coalesce(F.expr("try_to_date(fetched_at, 'yyyy-MM-dd')"), F.expr("try_to_date(fetched_at, 'dd/MM/yyyy')"), F.expr("try_to_date(substr(fetched_at, 1, 10), 'yyyy-MM-dd')"))
+    date = fetch_date(F.col("fetched_at"))
     row = F.struct("pmcid", "corpus", "version", "md5", "license_code", squeeze(F.col("title")).alias("title"), "authors", clean_doi(F.col("doi")).alias("doi"), "citation", "source_url", "forced_include")
     order = F.struct("version", date.alias("date"), F.coalesce("md5", F.lit("")).alias("md5"), F.coalesce("license_code", F.lit("")).alias("l"))
     return docs.filter("pmcid IS NOT NULL").groupBy("pmcid").agg(F.max_by(row, order).alias("r")).select("r.*")
 
 
-def gate(docs: DataFrame, allowed: tuple[str, ...] = ALLOWED) -> DataFrame:
-    """(pmcid, accepted, reason) by licence; forced documents are told apart but not let through."""
+def refusal(docs: DataFrame, allowed: tuple[str, ...] = ALLOWED) -> Column:
+    """Why a document may not enter, null where it may: its licence, a retraction, no open access. The last two are
+    judged where docs has the columns is_retracted and is_open_access; null counts as not retracted and as not open."""
     key = license_key(F.col("license_code"))
-    reason = F.when(key.isNull(), "no licence").when(~key.isin(*allowed), F.concat(F.lit("licence "), key))
-    return docs.select("pmcid", reason.isNull().alias("accepted"), reason.alias("reason"))
-
-
-def candidates(docs: DataFrame, target: int) -> DataFrame:
-    """(pmcid, class, nr): forced documents first, then the others by corpus and pmcid, until the target is
-    full; forced ones pass it. The limit is the feature; only what it lets through is numbered."""
-    one = docs.withColumn("class", F.when(F.col("forced_include"), 0).when(F.col("corpus") == "ci", 1).otherwise(2)).select("pmcid", "class")
-    forced = one.filter("class = 0")
-    room = max(0, target - forced.count())
-    taken = forced.unionByName(one.filter("class > 0").orderBy("class", "pmcid").limit(room))
-    return taken.withColumn("nr", F.row_number().over(Window.orderBy("class", "pmcid")))
+    why = F.when(key.isNull(), "no licence").when(~key.isin(*allowed), F.concat(F.lit("licence "), key))
+    if "is_retracted" in docs.columns:
+        why = why.when(F.coalesce("is_retracted", F.lit(False)), "retracted")
+    if "is_open_access" in docs.columns:
+        why = why.when(~F.coalesce("is_open_access", F.lit(False)), "no open access")
+    return why
+
+
+def gate(docs: DataFrame, allowed: tuple[str, ...] = ALLOWED) -> DataFrame:
+    """(pmcid, accepted, reason) by licence, retraction and open access; forced documents are told apart but not let through."""
+    why = refusal(docs, allowed)
+    return docs.select("pmcid", why.isNull().alias("accepted"), why.alias("reason"))
+
+
+# What a document's sync can end in.
+OUTCOMES = ("fetched", "cached", "md5_mismatch", "license_refused", "retracted_refused", "missing_upstream")
+
+
+def sync(manifest: DataFrame, local: DataFrame, upstream: DataFrame) -> DataFrame:
+    """(pmcid, outcome) of every document of a manifest (pmcid, md5): cached where the local copy (pmcid, md5) is the one pinned, else by
+    what upstream (pmcid, md5, license_code, is_retracted, ...) has: nothing, a document that may not enter, another
+    digest than pinned, or the document, which is then to be fetched."""
+    why = refusal(upstream)
+    known = upstream.select("pmcid", F.col("md5").alias("theirs"), why.alias("why"), F.lit(True).alias("there"))
+    rows = manifest.select("pmcid", "md5").join(local.select("pmcid", F.col("md5").alias("ours")), "pmcid", "left").join(known, "pmcid", "left")
+    outcome = F.when(F.col("ours") == F.col("md5"), "cached").when(F.col("there").isNull(), "missing_upstream").when(F.col("why") == "retracted", "retracted_refused").when(F.col("why").isNotNull(), "license_refused").when(F.col("theirs").eqNullSafe(F.col("md5")), "fetched").otherwise("md5_mismatch")
+    return rows.select("pmcid", outcome.alias("outcome"))
+
+
+def citation_candidates(seeds: DataFrame, links: DataFrame, topical: DataFrame) -> DataFrame:
+    """(pmcid, class, forced): seeds (class 0, forced), then those one citation away either way from a seed (1; links are (citing, cited)),
+    then topical finds (2); a document that is found several ways keeps the first."""
+    seed = seeds.select("pmcid")
+    hop = lambda near, far: links.join(seed.withColumnRenamed("pmcid", near), near, "left_semi").select(F.col(far).alias("pmcid"))
+    every = seed.withColumn("class", F.lit(0)).unionByName(hop("citing", "cited").unionByName(hop("cited", "citing")).withColumn("class", F.lit(1))).unionByName(topical.select("pmcid", F.lit(2).alias("class")))
+    return every.filter("pmcid is not null").groupBy("pmcid").agg(F.min("class").alias("class")).withColumn("forced", F.col("class") == 0)
+
+
+def within_target(candidates: DataFrame, target: int) -> DataFrame:
+    """(pmcid, class, forced) that a target lets in: all forced ones, and the others by class and pmcid until the target is full. The
+    limit is the feature: only what it lets through is sorted."""
+    room = max(0, target - candidates.filter("forced").count())
+    return candidates.filter("forced").unionByName(candidates.filter("not forced").orderBy("class", "pmcid").limit(room))
 
 
 def status(manifest: DataFrame, stored: DataFrame) -> DataFrame:

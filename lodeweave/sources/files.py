@@ -10,22 +10,29 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 
-# Subtrees of an article's body that hold no running text, and its blocks.
-STRIPPED = {"xref", "table-wrap", "fig", "disp-formula", "inline-formula", "supplementary-material", "fn", "table", "graphic", "media"}
-BLOCKS = {"p", "title", "list-item"}
+# Subtrees of an article's body that hold no running text.
+STRIPPED = {
+    "disp-formula", "disp-formula-group", "fig", "fig-group", "graphic", "inline-supplementary-material", "media", "ref-list",
+    "supplementary-material", "table-wrap", "table-wrap-foot", "table-wrap-group",
+}
 HEADER_END = "---"
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """One row per document of the JSON manifests under path, with the manifest's name as `corpus`."""
+    """One row per document of the JSON manifests under path, one object each, with the manifest's name as `corpus`."""
     raw = spark.read.schema(schemas.MANIFEST).json(path, multiLine=True)
     return raw.select(F.col("name").alias("corpus"), F.explode("docs").alias("d")).select("corpus", "d.*")
 
 
 def write_manifest(docs: DataFrame, path: str, name: str) -> None:
-    """One JSON file, documents in order of pmcid. A manifest is one object by its format, so its size is a driver's, not a cluster's."""
-    every = F.struct(*[F.col(f.split()[0]) for f in schemas.CORPUS_DOC.split(", ")])
-    docs.agg(F.array_sort(F.collect_list(every)).alias("docs")).select(F.lit(name).alias("name"), "docs").coalesce(1).write.mode("overwrite").json(path)
+    """JSON lines, one document each, in order of pmcid over the files; name is the manifest's. Any number of documents is written by as many tasks."""
+    kept = docs.select(F.lit(name).alias("corpus"), *[f.split()[0] for f in schemas.CORPUS_DOC.split(", ")])
+    kept.orderBy("pmcid").write.mode("overwrite").json(path)
+
+
+def read_manifest_lines(spark: SparkSession, path: str) -> DataFrame:
+    """The documents that write_manifest wrote, with the manifest's name as `corpus`."""
+    return spark.read.schema("corpus string, " + schemas.CORPUS_DOC).json(path)
 
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
@@ -64,25 +71,35 @@ def render_manuscript(header: Column, body: Column) -> Column:
     return F.concat(F.array_join(rows, "\n"), F.lit(f"\n{HEADER_END}\n"), body)
 
 
+def _name(node: ET.Element) -> str:
+    """The tag without its name space; empty for comments and instructions."""
+    return node.tag.rpartition("}")[2] if isinstance(node.tag, str) else ""
+
+
 def _plain(node: ET.Element) -> str:
-    out = [node.text or ""]
-    for child in node:
-        if child.tag.rpartition("}")[2] not in STRIPPED:
-            out.append(_plain(child))
-        out.append(child.tail or "")
-    return "".join(out)
+    """All text under a node but for stripped subtrees, white space squeezed."""
+    def inside(x: ET.Element):
+        yield x.text or ""
+        for child in x:
+            if _name(child) not in STRIPPED | {""}:
+                yield from inside(child)
+            yield child.tail or ""
+
+    return " ".join("".join(inside(node)).split())
 
 
 def _blocks(node: ET.Element) -> list[str]:
+    """Paragraphs in order: sections and lists are opened, every other block is one."""
     out = []
     for child in node:
-        tag = child.tag.rpartition("}")[2]
-        if tag in STRIPPED:
-            continue
-        inner = tag == "list-item" or (tag in BLOCKS and not any(x.tag.rpartition("}")[2] in ("list", "sec") for x in child))
-        got = [" ".join(_plain(child).split())] if inner else _blocks(child)
-        out += [g for g in got if g]
-    return out
+        name = _name(child)
+        if name == "sec":
+            out += _blocks(child)
+        elif name == "list":
+            out += [_plain(x) for x in child if _name(x) == "list-item"]
+        elif name not in STRIPPED | {""}:
+            out.append(_plain(child))
+    return [x for x in out if x]
 
 
 def article_text(xml: str | None) -> tuple[str | None, list[str], str | None]:
@@ -98,7 +115,7 @@ def article_text(xml: str | None) -> tuple[str | None, list[str], str | None]:
         if name:
             names.append(name)
     body = root.find(".//body")
-    return (" ".join(_plain(title).split()) if title is not None else None), names, "\n\n".join(_blocks(body)) if body is not None else None
+    return (_plain(title) if title is not None else None), names, "\n\n".join(_blocks(body)) if body is not None else None
 
 
 def parse_articles(articles: DataFrame, id_col: str = "doc_id", xml_col: str = "xml") -> DataFrame:

@@ -3,7 +3,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from lodeweave.operators import community, graph, metrics, rank
+from lodeweave.operators import community, graph, match, metrics, rank
 
 EX = "chunk_id string, entities array<struct<name:string,type:string>>, relations array<struct<source:string,predicate:string,target:string>>, truncated boolean, recorded_at int"
 G = "gene_or_protein"
@@ -77,7 +77,21 @@ def test_communities(spark):
     tops = graph.top_members(a, e, top=2)
     assert {(x.community_id, x.node) for x in tops.collect()} == {(0, "a0"), (0, "a1"), (1, "b0"), (1, "b1")}
     assert table(graph.relation_lines(tops, e, r), "community_id")[0,].lines == ["a0 -[p]- a1"]
-    assert graph.propagate_labels(e, 3).count() == 8
+    stats = {(x.measure, x.resolution): x.value for x in graph.build_stats(spark.createDataFrame([("c", True), ("d", False)], "chunk_id string, truncated boolean"), m, e, {1.0: a}).collect()}
+    assert stats == {("chunks", None): 2, ("truncated_chunks", None): 1, ("nodes", None): 8, ("edges", None): 13, ("communities", 1.0): 2}
+
+
+def test_communities_hold_together(spark):
+    """Two pairs under one name and no link between them become two communities."""
+    links = graph.both_ways(spark.createDataFrame([("a", "b", 1.0), ("c", "d", 1.0), ("d", "e", 1.0)], "src string, dst string, weight double"))
+    member = spark.createDataFrame([(x, "m") for x in "abcde"] + [("lone", "m")], "node string, community string")
+    assert {x.node: x.community for x in community._connected(links, member).collect()} == {"a": "a", "b": "a", "c": "c", "d": "c", "e": "c", "lone": "lone"}
+
+
+def test_a_stop_before_nodes_are_still_warns(spark):
+    _, _, e = cliques(spark)
+    with pytest.warns(UserWarning, match="still move"):
+        community.communities(e, 1.0, passes=2, still=-1.0, levels=1)
 
 
 def test_communities_of_a_ring(spark):
@@ -128,9 +142,47 @@ def test_bm25_by_hand(spark):
         return sum(idf[t] * ts.count(t) * 2.5 / (ts.count(t) + 1.5 * (0.25 + 0.75 * len(ts) / avg)) for t in q)
     for c in texts:
         assert got[1, c] == pytest.approx(score(c, ["y", "x", "x"]), abs=1e-6) and got[2, c] == 0
+    whole = rank.bm25(index, spark.createDataFrame([(1, "y x x"), (2, "nothing")], "query_id int, text string"), 3)
+    assert [(r.query_id, r.chunk_id) for r in whole.orderBy("query_id", "rank").collect()] == [(1, "a"), (1, "b"), (1, "c"), (2, "a"), (2, "b"), (2, "c")]
     assert rank.bm25(index.limit(0), spark.createDataFrame([(1, "x")], "query_id int, text string")).count() == 0
 
 
+def test_tasks_send_their_best_of_each_query_only(spark):
+    index = spark.createDataFrame([(f"c{i:03d}", "word " * (1 + i % 7) + f"w{i % 5}") for i in range(600)], "chunk_id string, text string").repartition(3)
+    q = spark.createDataFrame([(i, f"word w{i}") for i in range(4)], "query_id int, text string")
+    for k in (2, 50):
+        hits = rank.bm25_hits(index, q, k)
+        assert hits.count() <= 4 * k * (3 + 1)  # three tasks, and the first ids
+        assert hits.filter("score <= 0").count() <= 4 * k
+    v = spark.createDataFrame([(f"c{i:03d}", [float(i % 13), 1.0]) for i in range(600)], "chunk_id string, vector array<double>").repartition(3)
+    asked = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(4)], "query_id int, vector array<double>")
+    assert rank.vector_hits(v, asked, 5).count() <= 4 * 5 * 3
+
+
+def test_blocks_of_queries_give_the_same(spark, monkeypatch):
+    index = spark.createDataFrame([(f"c{i:02d}", f"w{i % 5} w{i % 3} x") for i in range(40)], "chunk_id string, text string")
+    q = spark.createDataFrame([(i, f"w{i} x") for i in range(6)], "query_id int, text string")
+    v = spark.createDataFrame([(f"c{i:02d}", [float(i % 7), 1.0]) for i in range(40)], "chunk_id string, vector array<double>")
+    asked = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(6)], "query_id int, vector array<double>")
+    run = lambda: ({tuple(r) for r in rank.bm25(index, q, 7).collect()}, {tuple(r) for r in rank.vector_search(v, asked, 7).collect()})
+    want = run()
+    monkeypatch.setattr(rank, "QUERY_TERMS", 3)
+    monkeypatch.setattr(rank, "QUERIES", 2)
+    monkeypatch.setattr(rank, "CELLS", 20)
+    assert run() == want and len(want[0]) == len(want[1]) == 42
+
+
+def test_terms_are_found_in_one_pass(spark):
+    q = spark.createDataFrame([(1, "The budding yeast, and its ABC genes of soil")], "query_id int, text string")
+    assert {r.term for r in rank.query_terms(q).collect()} == {"budding yeast", "abc genes", "soil", "budding", "yeast,", "genes"}
+    nodes = spark.createDataFrame([("budding yeast cell",), ("abc",), ("topsoil",), ("yeast",), ("none",)], "node string")
+    edge = spark.createDataFrame([], "src string, dst string, weight double")
+    assert {r.node for r in rank.matched_nodes(q, nodes, edge).collect()} == {"budding yeast cell", "topsoil"}
+    for block in (1, 100):
+        got = match.holding(spark.createDataFrame([(1, "abcab"), (2, None), (3, "")], "i int, t string"), "t", spark.createDataFrame([("ab",), ("bc",), ("",), (None,), ("ab",), ("x",)], "w string"), "w", block=block)
+        assert sorted((r.i, r.word) for r in got.collect()) == [(1, "ab"), (1, "bc")]
+
+
 def test_document_ranking_and_depth(spark):
     hits = spark.createDataFrame([(1, f"d{i // 3}:{i}:x", i + 1) for i in range(300)], "query_id int, chunk_id string, rank int")
     r = rank.doc_ranking(hits).collect()
@@ -143,10 +195,13 @@ def test_document_ranking_and_depth(spark):
 def test_metrics(spark):
     ranking = spark.createDataFrame([(1, "a", 1), (1, "b", 2), (1, "c", 3)], "query_id int, doc_id string, doc_rank int")
     relevant = spark.createDataFrame([(1, "a"), (1, "c"), (1, "d")], "query_id int, doc_id string")
-    m = metrics.case_metrics(ranking, relevant, 3).first()
+    both = {r.query_id: r for r in metrics.case_metrics(ranking, relevant, spark.createDataFrame([(1,), (2,)], "query_id int"), 3).collect()}
+    m = both[1]
+    assert both[2][1:] == (0, 0, 0, 0.0, 0.0, 0.0)
     ideal = sum(1 / math.log2(i + 2) for i in range(3))
     assert (m.relevant, m.found) == (3, 2) and m.recall == round(2 / 3, 6) and m.ndcg == round((1 + 0.5) / ideal, 6)
     assert {(r.doc_id, r.doc_rank) for r in metrics.per_item_hits(ranking, relevant).collect()} == {("a", 1), ("c", 3), ("d", None)}
     case = lambda n: spark.createDataFrame([("r", n, 1, 1, 0.5, 1.0, 0.25)], "ranker string, relevant int, found int, found_3k int, recall double, ceiling double, ndcg double")
     assert metrics.ladder(case(10).union(case(9))).first().recall is None
-    assert metrics.ladder(case(10).union(case(10))).first().recall == 0.5
+    r = metrics.ladder(case(10).union(case(10)).union(spark.createDataFrame([("r", 0, 0, 0, 0.0, 0.0, 0.0)], case(1).schema))).first()
+    assert (r.cases, r.recall, r.ceiling, r.share_of_ceiling) == (3, round(1 / 3, 6), round(2 / 3, 6), 0.5)  # all cases count, shares need a ceiling

@@ -16,10 +16,10 @@ BODY = "Intro [1].\nAs in [3,4] and [7–9].\nBad [42] twice [42].\n\nReferences
 def test_references(spark):
     got = found(spark, BODY)
     details = [d for _, _, d in got]
-    assert [(n, d.split("]")[0]) for n, s, d in got if "points past" in d] == [(2, "citation [7"), (2, "citation [8"), (2, "citation [9"), (3, "citation [42")]
-    assert '"11.5/x" is offered as a DOI but is not DOI syntax (10.NNNN/suffix)' in details
-    assert "duplicate reference entry: 10.1234/abc already appears at line 6" in details and len(got) == 6
-    assert not found(spark, BODY.replace("References", "The references"))[1:] or all("points" not in d for _, _, d in found(spark, BODY.replace("References", "The references")))
+    assert [(n, d) for n, s, d in got if "cites" in d] == [(2, f"cites number {n} of a list of 4") for n in (7, 8, 9)] + [(3, "cites number 42 of a list of 4")]
+    assert "11.5/x: no valid DOI" in details
+    assert "10.1234/abc: listed before, in line 6" in details and len(got) == 6
+    assert not found(spark, BODY.replace("References", "The references"))[1:] or all("cites" not in d for _, _, d in found(spark, BODY.replace("References", "The references")))
 
 
 @pytest.mark.parametrize(("line", "n"), [
@@ -37,9 +37,29 @@ def test_lens_without_text(spark):
 
 
 def test_swap_verdicts(spark):
-    rows = [("agree", 0, "SUPPORTS", ["a"]), ("agree", 1, "SUPPORTS", ["b"]), ("differ", 0, "SUPPORTS", ["a", "b"]), ("differ", 1, "REFUTES", ["b"]), ("one", 0, "REFUTES", ["a"]), ("odd", 0, "MAYBE", None), ("odd", 1, "NOT_ENOUGH_INFO", None)]
-    got = {r.claim_id: (r.verdict, r.spans, r.swapped, r.swap_consistent) for r in records.swap_verdicts(spark.createDataFrame(rows, "claim_id string, ord int, verdict string, spans array<string>")).collect()}
-    assert got == {"agree": ("SUPPORTS", ["a", "b"], True, True), "differ": ("NOT_ENOUGH_INFO", ["b"], True, False), "one": ("NOT_ENOUGH_INFO", [], False, None), "odd": ("NOT_ENOUGH_INFO", [], True, True)}
+    rows = [
+        ("agree", 0, "SUPPORTS", [("z", "q1"), ("a", "q")]), ("agree", 1, "SUPPORTS", [("a", "q"), ("b", "q")]),
+        ("differ", 0, "SUPPORTS", [("a", "one"), ("b", "first")]), ("differ", 1, "REFUTES", [("b", "second")]),
+        ("one", 0, "REFUTES", [("a", "q")]), ("odd", 0, "MAYBE", [("a", "q")]), ("odd", 1, "NOT_ENOUGH_INFO", None),
+    ]
+    given = [("agree", ["b", "z", "a"]), ("differ", ["a", "b"]), ("one", ["a"]), ("odd", ["a"]), ("nothing", []), ("null", None)]
+    got = {r.claim_id: (r.verdict, [tuple(s) for s in r.spans], r.swapped, r.swap_consistent) for r in records.swap_verdicts(
+        spark.createDataFrame(rows, "claim_id string, ord int, verdict string, spans array<struct<chunk_id:string,quote:string>>"), spark.createDataFrame(given, "claim_id string, chunk_ids array<string>")).collect()}
+    assert got == {
+        "agree": ("SUPPORTS", [("b", "q"), ("z", "q1"), ("a", "q")], True, True),
+        "differ": ("NOT_ENOUGH_INFO", [("b", "first"), ("b", "second")], True, False),  # by chunk, whatever is quoted of it
+        "one": ("NOT_ENOUGH_INFO", [], True, False), "odd": ("NOT_ENOUGH_INFO", [], True, True),
+        "nothing": ("NOT_ENOUGH_INFO", [], False, True), "null": ("NOT_ENOUGH_INFO", [], False, True),
+    }
+
+
+def test_arms_and_pooled_findings(spark):
+    scores = spark.createDataFrame([("panel", "s", "e1", True, True), ("panel", "s", "e2", True, False), ("solo", "s", "e1", False, False)], "arm string, source string, error_id string, named boolean, detected boolean")
+    spent = spark.createDataFrame([("panel", "s", 100), ("panel", "s", 100), ("solo", "s", 50)], "arm string, source string, tokens int")
+    got = {r.arm: r for r in records.arm_results(scores, spent, "panel").collect()}
+    assert got["panel"][2:] == (["e1"], ["e1", "e2"], ["e2"], 200, 1.0) and got["solo"][2:] == ([], [], ["e1"], 50, 0.25)
+    f = spark.createDataFrame([("s", "a", 1, "x"), ("s", "a", 2, "x"), ("s", "a", 2, "y"), ("s", "a", 2, None)], "source string, arm string, sample int, text string")
+    assert {tuple(r) for r in records.pooled_findings(f).collect()} == {("s", "a", "x", 2), ("s", "a", "y", 1)}
 
 
 def test_consistency_gate(spark):
@@ -65,6 +85,8 @@ def test_grounding_and_hygiene(spark):
     assert got == {1: (3, 2, 1), 2: (1, 1, 0), 3: (0, 0, 0), 4: (0, 0, 0)}
     kept = {r.finding_id: (r.evidence, r.dropped_ids) for r in records.finding_hygiene(f, c, most=2).collect()}
     assert kept == {1: (["a", "b"], 1), 2: (["a"], 0)}
+    scored = records.finding_hygiene(f.withColumn("score", F.when(F.col("finding_id") == 1, "9").otherwise("x")), c, most=2)
+    assert {r.finding_id: r.score for r in scored.collect()} == {1: 5, 2: None}
     assert spark.range(1).select(records.clamp_score(F.lit("9")), records.clamp_score(F.lit("x")), records.clamp_score(F.lit("-2"))).first()[:] == (5, None, 1)
 
 

@@ -31,6 +31,14 @@ def test_planting(spark):
     assert again[1] == errors and again[0]["a"].text == out["a"].text
 
 
+def test_one_line_may_serve_all_kinds(spark):
+    line = " ".join(["The gene Dcr1 increased in all strains (p < 0.05) in 45% of the plants"] + [f"w{i}" for i in range(20)]) + " "
+    out, errors = planted(spark, [("a", line)])
+    assert [e[2] for e in errors] == sorted(planting.KINDS) and out["a"].skipped_kinds == [] and {e[6] for e in errors} == {1}
+    assert out["a"].text.startswith("The gene Dcr2 decreased in all strains (p = 1.34) in 412% of the plants w0") and out["a"].text.endswith("w19" + planting.CITATION)
+    assert {e[1].rsplit("-", 1)[1] for e in errors} == set("01234")
+
+
 def test_planting_stays_in_its_window(spark):
     _, errors = planted(spark, [("a", TEXT)], window_words=23)
     assert {e[2] for e in errors} == {"gene_symbol_swap", "effect_direction_flip"}

@@ -5,16 +5,23 @@ from lodeweave.operators import review
 
 
 def test_cases(spark):
-    m = spark.createDataFrame([("10.1/a", "Title A", "Intro\n\n2. Methods\nWe grew cells\nfor days"), ("10.1/b", "Title B", "none")], "preprint_doi string, title string, body string")
+    m = spark.createDataFrame([("10.1/a", "Title A", "Intro\n\nMethods\nWe grew cells\nfor days"), ("10.1/b", "Title B", "none")], "preprint_doi string, title string, body string")
     twins = spark.createDataFrame([("10.1/a", "P1"), ("10.1/b", "P9")], "preprint_doi string, pmcid string")
     cited = spark.createDataFrame([("10.1/a", d) for d in ("P1", "P2", "P3", "P7")], "preprint_doi string, doc_id string")
     stored = spark.createDataFrame([("P1",), ("P2",), ("P3",), ("P3",)], "doc_id string")
     cases, skipped = review.query_cases(m, twins, cited, stored)
     r = cases.first()
-    assert (r.query, r.methods_query, r.relevant_docs, r.excluded_docs) == ("Title A", "We grew cells for days", ["P2", "P3"], ["P1"])
+    assert (r.query, r.methods_query, r.relevant_docs, r.excluded_docs) == ("Title A", "Methods We grew cells for days", ["P2", "P3"], ["P1"])
     assert cases.count() == 1 and [x.preprint_doi for x in skipped.collect()] == ["10.1/b"]
 
 
+def test_derived_queries(spark):
+    m = spark.createDataFrame([("10.1/a", "Title A", "Intro\n Materials and methods\n" + "word " * 80), ("10.1/b", None, None)], "preprint_doi string, title string, body string")
+    got = {(r.preprint_doi, r.nr): r.query for r in review.derived_queries(m).collect()}
+    assert got["10.1/a", 0] == "Title A" and len(got["10.1/a", 1].split()) == 60 and got["10.1/a", 1].startswith("Materials and methods word")
+    assert got["10.1/a", 2] == got["10.1/b", 0] == review.FIXED_QUERY and len(got) == 4
+
+
 def test_claims_and_orders(spark):
     t = spark.createDataFrame([("m", 1, "Same claim here. Other one."), ("m", 0, "First of all. SAME claim here."), ("n", 0, None)], "id string, position int, text string")
     got = review.claims(t, "panel", 3).orderBy("claim_id").collect()

@@ -12,8 +12,8 @@ def test_manifest_round_trip(spark, tmp_path):
     got = files.read_manifest(spark, str(tmp_path / "m.json"))
     assert {(r.corpus, r.pmcid, r.doi) for r in got.collect()} == {("demo", "P1", None), ("demo", "P2", None)}
     files.write_manifest(got, str(tmp_path / "out"), "demo")
-    again = files.read_manifest(spark, str(tmp_path / "out"))
-    assert [r.pmcid for r in again.collect()] == ["P1", "P2"]
+    again = files.read_manifest_lines(spark, str(tmp_path / "out"))
+    assert again.columns == got.columns and sorted(map(tuple, again.collect())) == sorted(map(tuple, got.collect()))
 
 
 def test_texts_need_every_document(spark, tmp_path):
@@ -37,10 +37,11 @@ def test_manuscripts(spark):
 
 def test_articles(spark):
     xml = """<article><front><article-title>On <italic>x</italic></article-title><contrib contrib-type="author"><name><surname>Doe</surname><given-names>J</given-names></name></contrib></front>
-    <body><sec><title>Intro</title><p>Text <xref>1</xref>here.</p><fig><p>gone</p></fig><list><list-item><p>one</p></list-item></list></sec></body></article>"""
+    <body><sec><title>Intro</title><p>Text <xref>1</xref> here<fn>note</fn>.<disp-formula-group>x</disp-formula-group></p><fig-group><p>gone</p></fig-group><!-- no --><list><list-item><p>one</p><p>two</p></list-item></list>
+    <boxed-text>direct <p>and inner</p></boxed-text></sec><sec><ref-list><p>gone</p></ref-list></sec></body></article>"""
     df = spark.createDataFrame([("a", xml), ("b", "<broken"), ("c", None)], "doc_id string, xml string")
     got = {r.doc_id: r for r in files.parse_articles(df).collect()}
-    assert got["a"].title == "On x" and got["a"].authors == ["Doe J"] and got["a"].text == "Intro\n\nText here.\n\none"
+    assert got["a"].title == "On x" and got["a"].authors == ["Doe J"] and got["a"].text == "Intro\n\nText 1 herenote.\n\nonetwo\n\ndirect and inner"
     assert got["b"].text is None and got["c"].title is None
 
 
@@ -79,14 +80,27 @@ def test_corpus_rules(spark):
     assert got == ["10.5555/ab"] * 3 + [None] * 2
 
 
+def test_sync_outcomes_and_refusals(spark):
+    pins = spark.createDataFrame([(p, "m") for p in "abcdefg"], "pmcid string, md5 string")
+    local = spark.createDataFrame([("a", "m"), ("b", "old")], "pmcid string, md5 string")
+    up = [("a", "new", "CC0", True, True), ("b", "m", "cc-by", False, True), ("c", "other", "CC0", None, True), ("d", "m", "CC BY-NC", False, True), ("e", "m", "CC0", True, True), ("f", "m", "CC0", False, None)]
+    upstream = spark.createDataFrame(up, "pmcid string, md5 string, license_code string, is_retracted boolean, is_open_access boolean")
+    got = {r.pmcid: r.outcome for r in corpus.sync(pins, local, upstream).collect()}
+    assert got == {"a": "cached", "b": "fetched", "c": "md5_mismatch", "d": "license_refused", "e": "retracted_refused", "f": "license_refused", "g": "missing_upstream"} and set(got.values()) == set(corpus.OUTCOMES)
+    assert {r.pmcid: r.reason for r in corpus.gate(upstream).collect()} == {"a": "retracted", "b": None, "c": None, "d": "licence CC BY-NC", "e": "retracted", "f": "no open access"}
+
+
 def test_status_upsert_candidates(spark):
     m = spark.createDataFrame([("a", "1"), ("b", "1"), ("c", None), ("d", "1")], "doc_id string, md5 string")
     s = spark.createDataFrame([("a", "1"), ("b", "2"), ("c", "1"), ("e", "1")], "doc_id string, md5 string")
     assert {r.doc_id: r.outcome for r in corpus.status(m, s).collect()} == {"a": "ok", "b": "changed", "c": "unknown", "d": "missing", "e": "orphan"}
     assert {tuple(r) for r in corpus.upsert(m.filter("doc_id < 'c'"), s.filter("doc_id > 'a' and doc_id < 'd'"), "doc_id").collect()} == {("a", "1"), ("b", "2"), ("c", "1")}
-    d = spark.createDataFrame([("P3", "ci", False), ("P1", "demo", False), ("P9", "demo", True), ("P2", "ci", False)], "pmcid string, corpus string, forced_include boolean")
-    assert [r.pmcid for r in corpus.candidates(d, 2).orderBy("nr").collect()] == ["P9", "P2"]
-    assert {r.pmcid for r in corpus.candidates(d, 0).collect()} == {"P9"}
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "pmcid string")
+    links = spark.createDataFrame([("P9", "P5"), ("P4", "P9"), ("P5", "P1"), ("P9", "P9")], "citing string, cited string")
+    found = corpus.citation_candidates(ids("P9", "P9"), links, ids("P1", "P5", "P9", "P2"))
+    assert {tuple(r) for r in found.collect()} == {("P9", 0, True), ("P4", 1, False), ("P5", 1, False), ("P1", 2, False), ("P2", 2, False)}
+    assert {r.pmcid for r in corpus.within_target(found, 4).collect()} == {"P9", "P4", "P5", "P1"}
+    assert {r.pmcid for r in corpus.within_target(found, 0).collect()} == {"P9"}
     t = spark.createDataFrame([("10.1/a", "P1")], "preprint_doi string, pmcid string")
     assert corpus.excluded_documents(t, t).first().doc_id == "P1"
     with pytest.raises(Exception, match="no twin"):

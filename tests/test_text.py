@@ -85,7 +85,7 @@ def test_parse_object(spark):
 
 
 def test_candidate_terms(spark):
-    assert values(spark, ["sulfur sulfur metabolism 123456 met4 sulfur metabolism regulation"], candidate_terms) == [["sulfur", "metabolism", "regulation"]]
+    assert values(spark, ["Sulfur metabolism of the  MET4 gene; 1234 and sulfur metabolism, in yeast - is x2"], candidate_terms) == [["sulfur metabolism", "met4 gene", "yeast -"]]
 
 
 def fold(paras, target, overlap, tail):
