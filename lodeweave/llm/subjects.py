@@ -84,6 +84,15 @@ def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return values, np.repeat(np.arange(len(column)), np.diff(column.offsets.to_numpy()))
 
 
+def _sums(values: np.ndarray, group: np.ndarray, n: int) -> np.ndarray:
+    """Sums of the rows of values by group, from 0 to n - 1; groups stand in order."""
+    out = np.zeros((n, values.shape[1]))
+    if len(group):
+        first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+        out[group[first]] = np.add.reduceat(values, first, axis=0)
+    return out
+
+
 def sentence_scores(flat: np.ndarray, doc: np.ndarray, docs: int, weights: np.ndarray, need: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(share, p, sentence, home): shares of subjects per document, posteriors per sentence, the sentence of
     each word and the document of each sentence. The shares of a first look are the prior of the second."""
@@ -93,8 +102,8 @@ def sentence_scores(flat: np.ndarray, doc: np.ndarray, docs: int, weights: np.nd
     n = int(sentence[-1]) + 1 if len(flat) else 0
     home = doc[starts]
     worded = np.bincount(sentence[flat > 0], minlength=n) > 0
-    known = np.flatnonzero((flat > 0) & (np.abs(weights).max(axis=1) > 0)[flat])
-    score = np.stack([np.bincount(sentence[known], weights=weights[flat[known], c], minlength=n) for c in range(k)], axis=1) if n else np.zeros((0, k))
+    known = np.flatnonzero((flat > 0) & weights.any(axis=1)[flat])
+    score = _sums(weights[flat[known]], sentence[known], n)
     told = score > 0
     size = np.maximum(np.bincount(home[worded], minlength=docs), 1)[:, None]
     prior = 0.0
@@ -102,7 +111,7 @@ def sentence_scores(flat: np.ndarray, doc: np.ndarray, docs: int, weights: np.nd
         z = np.concatenate([SHARP * score + prior, np.full((n, 1), SHARP * need)], axis=1)
         p = np.exp(z - z.max(axis=1, keepdims=True)) if n else z
         p /= p.sum(axis=1, keepdims=True)
-        share = np.stack([np.bincount(home[worded], weights=p[worded, c], minlength=docs) for c in range(k)], axis=1) / size if n else np.zeros((docs, k))
+        share = _sums(p[worded, :k], home[worded], docs) / size
         prior = np.where(told, np.log((0.15 + share[home]) / 0.25), 0.0)
     return share, p[:, :k], sentence, home
 
@@ -142,7 +151,7 @@ def _counts(kind: str, model, need: float, k: int):
             n += np.bincount(cells, minlength=CELLS)
             total += len(cells)
             for c in range(k):
-                some = np.flatnonzero(row_weight[rows, c] > 1e-3)
+                some = np.flatnonzero((row_weight[:, c] > 1e-3)[rows])
                 w = row_weight[rows[some], c]
                 by[:, c] += np.bincount(cells[some], weights=w, minlength=CELLS)
                 mass[c] += w.sum()
@@ -258,13 +267,13 @@ def subject_areas(docs: DataFrame, areas: DataFrame, labels: DataFrame, id_col:
             if rounds:
                 warnings.warn(f"subject areas: the {step} still move by {moved:.3f} after {rounds} rounds", stacklevel=2)
     model = docs.sparkSession.sparkContext.broadcast(weights)
-    shares = features.select("id", "cells", "marks").mapInArrow(_shares(model, k), f"id {kind}, share array<double>, words long, marks array<int>")
-    known = shares.filter("marks is not null").select("share", "marks").toArrow()
+    scored = lambda rows: rows.select("id", "cells", "marks").mapInArrow(_shares(model, k), f"id {kind}, share array<double>, words long, marks array<int>")
+    known = scored(features.filter("marks is not null")).select("share", "marks").toArrow()
     share = np.array(known.column("share").to_pylist(), float).reshape(-1, k)
     marked = np.array([[c in m for c in range(k)] for m in known.column("marks").to_pylist()], float).reshape(-1, k)
     slope, least = calibrate(share, marked)
     lits = lambda x: F.array(*map(F.lit, x.tolist()))
     each = F.arrays_zip(F.array(*map(F.lit, names)).alias("subject"), F.col("share"), lits(slope).alias("slope"), lits(least).alias("least"))
-    out = shares.select("id", "words", F.explode(each).alias("x")).select("id", "words", "x.*").filter("share >= least")
+    out = scored(features).select("id", "words", F.explode(each).alias("x")).select("id", "words", "x.*").filter("share >= least")
     posterior = 1 / (1 + F.exp(-F.col("slope") * (F.col("share") - F.col("least"))))
     return out.groupBy("id", "subject").agg(F.max("share").alias("share"), F.max(posterior).alias("posterior"), F.max("words").alias("words")).withColumnRenamed("id", id_col)
