@@ -50,7 +50,7 @@ def _together(spark: SparkSession, folder: str, least: int) -> DataFrame:
 
 
 def p4_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    return _together(spark, folder, 1)
+    return _together(spark, folder, 1).selectExpr("a", "b", "n_ab", "n_a", "n_b", "n", "round(lift, 6) AS lift", "round(llr, 4) AS llr")
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -143,6 +143,17 @@ SELECT chunk_id, CAST(para_no AS INT) AS para_no FROM p WHERE len(regexp_extract
 r AS (SELECT DISTINCT chunk_id, n FROM e WHERE n <> ''), c AS (SELECT n, count(*) AS k FROM r GROUP BY 1), t AS (SELECT count(DISTINCT chunk_id) AS total FROM r),
 p AS (SELECT a.n AS entity_a, b.n AS entity_b, count(*) AS k FROM r a JOIN r b ON a.chunk_id = b.chunk_id AND a.n < b.n GROUP BY 1, 2 HAVING count(*) >= 8)
 SELECT entity_a, entity_b FROM p JOIN c a ON a.n = entity_a JOIN c b ON b.n = entity_b, t WHERE p.k * total >= 10 * a.k * b.k""",
+    "p4_pairs": f"""WITH e AS (SELECT chunk_id, lower(trim(regexp_replace(x.name, '[{WS}]+', ' ', 'g'))) AS n FROM (SELECT chunk_id, unnest(entities) AS x FROM chunk_extractions WHERE chunk_id IS NOT NULL)),
+r AS (SELECT DISTINCT chunk_id, n FROM e WHERE n <> ''), c AS (SELECT n, count(*) AS k FROM r GROUP BY 1), t AS (SELECT count(DISTINCT chunk_id) AS n FROM r),
+p AS (SELECT a.n AS a, b.n AS b, count(*) AS k FROM r a JOIN r b ON a.chunk_id = b.chunk_id AND a.n < b.n GROUP BY 1, 2),
+x AS (SELECT a, b, p.k AS n_ab, ca.k AS n_a, cb.k AS n_b, t.n AS n, p.k * 1e0 AS o11, (ca.k - p.k) * 1e0 AS o12, (cb.k - p.k) * 1e0 AS o21, (t.n - ca.k - cb.k + p.k) * 1e0 AS o22 FROM p JOIN c ca ON ca.n = a JOIN c cb ON cb.n = b, t)
+SELECT a, b, n_ab, n_a, n_b, n, round(n_ab * n / (n_a * 1e0 * n_b), 6) AS lift, round(2 * (o11 * ln(o11 * n / (n_a * 1e0 * n_b)) + CASE WHEN o12 > 0 THEN o12 * ln(o12 * n / (n_a * 1e0 * (n - n_b))) ELSE 0 END
+  + CASE WHEN o21 > 0 THEN o21 * ln(o21 * n / ((n - n_a) * 1e0 * n_b)) ELSE 0 END + CASE WHEN o22 > 0 THEN o22 * ln(o22 * n / ((n - n_a) * 1e0 * (n - n_b))) ELSE 0 END), 4) AS llr FROM x""",
+    "p5_portions": """WITH f AS (SELECT DISTINCT * FROM (SELECT finding_id AS id, 'text' AS field, text AS s FROM review_findings UNION ALL SELECT finding_id, 'quote', quote FROM review_findings) WHERE id IS NOT NULL AND s IS NOT NULL),
+q AS (SELECT id, field, i, substr(s, i + 1, 60) AS g FROM (SELECT id, field, s, unnest(range(0, length(s) - 59)) AS i FROM f WHERE length(s) >= 60)),
+y AS (SELECT id, field, i FROM q WHERE g IN (SELECT g FROM q GROUP BY 1 HAVING count(DISTINCT id) > 1)),
+c AS (SELECT id, field, sum(least(60, coalesce(after - i, 60))) AS shared FROM (SELECT *, lead(i) OVER (PARTITION BY id, field ORDER BY i) AS after FROM y) GROUP BY 1, 2)
+SELECT id, field, CAST(length(s) AS INT) AS length, CAST(coalesce(shared, 0) AS INT) AS shared FROM f LEFT JOIN c USING (id, field)""",
     "p5_found": """WITH f AS (SELECT DISTINCT finding_id AS id, s FROM (SELECT finding_id, text AS s FROM review_findings UNION ALL SELECT finding_id, quote FROM review_findings) WHERE length(s) >= 60 AND finding_id IS NOT NULL),
 q AS (SELECT DISTINCT id, substr(s, i + 1, 60) AS g FROM (SELECT id, s, unnest(range(0, length(s) - 59)) AS i FROM f)),
 y AS (SELECT * FROM q WHERE g IN (SELECT g FROM q GROUP BY 1 HAVING count(*) > 1))
