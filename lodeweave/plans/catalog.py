@@ -118,7 +118,7 @@ def prompt_windows(spark, folder):
 
 @query
 def bm25_batch(spark, folder):
-    return rank.bm25(_index(spark, folder), _items(spark, folder), 10).select("query_id", "chunk_id", "score", F.col("rank").cast("long"))
+    return rank.bm25(materialize(_index(spark, folder), "index"), _items(spark, folder), 10).select("query_id", "chunk_id", "score", F.col("rank").cast("long"))
 
 
 @query
