@@ -132,3 +132,8 @@ def build_stats(extractions: DataFrame, mentioned: DataFrame, edge: DataFrame, a
     for r, a in (assignments or {}).items():
         out = out.unionByName(rows(a.agg(F.count_distinct("community_id").alias("communities")), r))
     return out
+
+
+def largest_communities(assignment: DataFrame, most: int = 3) -> DataFrame:
+    """(community_id, size) of the largest communities, ties by the smaller id."""
+    return assignment.groupBy("community_id").agg(F.count(F.lit(1)).alias("size")).orderBy(F.desc("size"), "community_id").limit(most)

@@ -84,3 +84,8 @@ def reports(tops: DataFrame, lines: DataFrame, recorded: DataFrame, resolution:
     title = F.concat(F.lit("Community around "), F.get("member_names", F.lit(0)))
     summary = F.concat(F.lit("Members: "), F.array_join(F.slice("member_names", 1, 10), ", "), F.lit("."))
     return got.select("community_id", F.lit(resolution).alias("resolution"), "size", "member_names", F.coalesce("t", title).alias("title"), F.coalesce("s", summary).alias("summary"), F.coalesce("cut", F.lit(False)).alias("truncated"), F.col("t").isNotNull().alias("cached"))
+
+
+def report_counts(made: DataFrame) -> DataFrame:
+    """One row for each resolution: reports, those from the record, those made anew, truncated ones."""
+    return made.groupBy("resolution").agg(F.count(F.lit(1)).alias("reports"), F.count_if("cached").alias("cached"), F.count_if(~F.col("cached")).alias("generated"), F.count_if("truncated").alias("truncated"))

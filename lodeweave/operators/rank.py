@@ -338,3 +338,12 @@ def depth_reached(hits: DataFrame, depth: int = 30, start: int = 120, most: int
         step = step.when(F.col("need") <= size, F.lit(size))
         size *= 2
     return need.select("query_id", F.least("documents", F.lit(depth)).alias("documents"), step.otherwise(F.lit(most)).alias("chunk_depth"))
+
+
+def excluding_index(chunks: DataFrame, excluded: DataFrame) -> DataFrame:
+    """index_chunks without the excluded documents; raises where a document of them is in the chunks and yet the index keeps as many."""
+    whole, kept = index_chunks(chunks), index_chunks(chunks, excluded)
+    present = whole.join(excluded.select("doc_id").distinct(), "doc_id", "left_semi")
+    if not present.isEmpty() and not kept.join(excluded.select("doc_id").distinct(), "doc_id", "left_semi").isEmpty():
+        raise ValueError("documents to be excluded are still in the index")
+    return kept

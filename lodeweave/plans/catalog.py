@@ -279,6 +279,12 @@ def top_members(spark, folder):
     return graph.top_members(_type_assignment(m), edge).select("community_id", F.col("size").cast("long"), F.col("rank").cast("long"), "node", "degree")
 
 
+@query
+def largest_groups(spark, folder):
+    m, _, _ = _graph(spark, folder)
+    return graph.largest_communities(_type_assignment(m)).select("community_id", F.col("size").cast("long"))
+
+
 @query
 def graph_local_search(spark, folder):
     out = _excluded(spark, folder)
@@ -462,7 +468,7 @@ def finding_hygiene(spark, folder):
 def own_prose_residue(spark, folder):
     """What a finding says beyond its own quote: sentences of its text that aren't in the quote."""
     f = _findings(spark, folder).filter("text IS NOT NULL")
-    return f.select("finding_id", F.length(tx.own_prose(F.col("text"), F.coalesce("quote", F.lit("")))).cast("long").alias("own_chars"), F.size(tx.sentences(F.col("text"))).cast("long").alias("sentences"))
+    return f.select("finding_id", F.length(tx.own_prose(F.col("text"), F.coalesce("quote", F.lit("")))).cast("long").alias("own_chars"), F.size(tx.sentences(F.col("text"))).cast("long").alias("sentences"), tx.quoted_sentences(F.col("text"), F.coalesce("quote", F.lit(""))).cast("long").alias("quoted"))
 
 
 def _scored(spark, folder):
@@ -471,6 +477,13 @@ def _scored(spark, folder):
     return _findings(spark, folder).select("run_id", "dimension", "reviewer", score.alias("score"))
 
 
+@query
+def cut_prompts(spark, folder):
+    """Findings whose words, taken for a server's count of tokens, are too few for their characters."""
+    f = _findings(spark, folder)
+    return f.select("finding_id", tx.was_cut(tx.n_words(F.col("text")) + tx.n_words(F.col("quote")), F.col("text"), F.col("quote")).alias("cut"))
+
+
 @query
 def score_conflicts(spark, folder):
     return records.score_conflicts(_scored(spark, folder)).select("run_id", "dimension", "reviewers", F.col("lowest").cast("long"), F.col("highest").cast("long"))

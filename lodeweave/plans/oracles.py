@@ -208,6 +208,8 @@ SELECT a.community_id, p.src || ' -[' || coalesce(predicate, '') || ']- ' || p.d
     "graph_local_search": f"WITH {RUN}, {CASES}, {mentions(WITHOUT)}, {CANDIDATES}, {LOCAL} {TOP10}",
     "graph_global_search": f"WITH {RUN}, {CASES}, {mentions(WITHOUT)}, {NODES}, {TOPS}, {PLUS} {TOP10}",
     "ranked_reports": f"WITH {RUN}, {CASES}, {mentions(WITHOUT)}, {NODES}, {TOPS}, {PLUS} SELECT query_id, CAST(community_id AS BIGINT) AS community_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, community_id) AS rank FROM best8",
+    "largest_groups": f"WITH {mentions()}, {NODES}, {TOPS} SELECT community_id, count(*) AS size FROM asg GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 3",
+    "cut_prompts": f"""WITH {FINDINGS} SELECT finding_id, 6 * (coalesce(len(regexp_extract_all(text, '[^{WS}]+')), 0) + coalesce(len(regexp_extract_all(quote, '[^{WS}]+')), 0)) < length(coalesce(text, '')) + length(coalesce(quote, '')) AS cut FROM finds""",
     "latest_documents": f"WITH {LATEST} SELECT pmcid, version, {LICENSE} AS license, {squeeze('title')} AS title, coalesce(len(authors), 0) AS n_authors FROM latest",
     "license_gate": f"SELECT pmcid, reason IS NULL AS accepted, reason FROM (SELECT pmcid, CASE WHEN l IS NULL THEN 'no licence' WHEN l NOT IN ('CC0', 'CC BY') THEN 'licence ' || l END AS reason FROM (SELECT DISTINCT pmcid, license_code, {LICENSE} AS l FROM corpus_docs))",
     "corpus_status": f"""WITH {LATEST}, {FIRST}

@@ -181,3 +181,16 @@ def save_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
 
 def load_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/edges")
+
+
+def read_corpus(spark: SparkSession, name: str, corpora: dict[str, tuple[str, str]]) -> DataFrame:
+    """The texts of a named corpus, every document of its manifest; corpora: name to (manifest path, texts path). An unknown name raises."""
+    if name not in corpora:
+        raise ValueError(f"unknown corpus {name!r}, known: {', '.join(sorted(corpora))}")
+    manifest, texts = corpora[name]
+    return read_complete(spark, read_manifest(spark, manifest), texts)
+
+
+def write_collisions(collisions: DataFrame, path: str) -> None:
+    """Token collisions as JSON lines, in order of token over the files."""
+    collisions.orderBy("token").write.mode("overwrite").json(path)

@@ -130,6 +130,16 @@ def test_excluded_documents_never_surface(spark):
     assert local[1] == 2.0 and {r.query_id: r.score for r in every["blend"].collect() if r["rank"] == 1}[1] == 3.0
 
 
+def test_exclusion_that_does_nothing_raises(spark, monkeypatch):
+    chunks, _, _ = fixture(spark)
+    gone, unknown = (spark.createDataFrame([(d,)], "doc_id string") for d in ("docTwin", "elsewhere"))
+    assert rank.excluding_index(chunks, gone).count() == 3 and rank.excluding_index(chunks, unknown).count() == 4
+    whole = rank.index_chunks
+    monkeypatch.setattr(rank, "index_chunks", lambda c, excluded=None: whole(c))
+    with pytest.raises(ValueError, match="still in the index"):
+        rank.excluding_index(chunks, gone)
+
+
 def test_bm25_by_hand(spark):
     texts = {"a": "x y y", "b": "x z", "c": "w", "d": "v v"}
     index = spark.createDataFrame(list(texts.items()), "chunk_id string, text string")

@@ -1,7 +1,9 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
+from lodeweave.functions import text
 from lodeweave.operators import planting, providers
 from lodeweave.operators.records import planted_scores
 from lodeweave.streaming.windows import event_counts, ingest
@@ -76,6 +78,19 @@ def test_reports_keep_their_identity(spark):
     assert (r.community_id, r["size"], r.member_names, r.cached) == (5, 3, ["a", "b"], False) and "a, b" in r.summary
 
 
+def test_report_counts(spark):
+    made = spark.createDataFrame([(1.0, True, False), (1.0, False, False), (1.0, False, True), (3.0, True, True)], "resolution double, cached boolean, truncated boolean")
+    assert {tuple(r) for r in providers.report_counts(made).collect()} == {(1.0, 3, 1, 2, 1), (3.0, 1, 1, 0, 1)}
+
+
+def test_prompt_guards_and_quoted_sentences(spark):
+    row = spark.createDataFrame([("x" * 600, 99, 100, "He said much. We say more.  ", "Then he said much. End.")], "user string, few int, enough int, text string, source string")
+    got = row.select(text.was_cut(F.col("few"), F.lit(None), F.col("user")), text.was_cut(F.col("enough"), F.lit(""), F.col("user")), text.quoted_sentences(F.col("text"), F.col("source")), text.fitting(F.lit(8192), F.lit(5000))).first()
+    assert tuple(got) == (True, False, 1, 8192)
+    with pytest.raises(Exception, match="a window of 4096 for a call that needs 5000"):
+        row.select(text.fitting(F.lit(4096), F.lit(5000))).collect()
+
+
 def test_streaming_windows_and_ingest(spark, tmp_path):
     events = spark.createDataFrame([(f"2024-01-01 0{h}:1{m}:00", t, float(m)) for h in range(5) for m in range(3) for t in "xy"], "ts string, event_type string, value double").withColumn("ts", F.col("ts").cast("timestamp"))
     source, target, state = (str(tmp_path / x) for x in ("in", "out", "state"))

@@ -24,6 +24,18 @@ def test_texts_need_every_document(spark, tmp_path):
         files.read_complete(spark, spark.createDataFrame([("P1",), ("P2",)], "pmcid string"), str(tmp_path))
 
 
+def test_named_corpora_and_collisions(spark, tmp_path):
+    (tmp_path / "t").mkdir()
+    (tmp_path / "t" / "P1.txt").write_text("one")
+    (tmp_path / "m.json").write_text(json.dumps({"name": "demo", "docs": [{"pmcid": "P1"}]}))
+    corpora = {"demo": (str(tmp_path / "m.json"), str(tmp_path / "t"))}
+    assert [tuple(r) for r in files.read_corpus(spark, "demo", corpora).collect()] == [("P1", "one")]
+    with pytest.raises(ValueError, match="unknown corpus 'x', known: demo"):
+        files.read_corpus(spark, "x", corpora)
+    files.write_collisions(spark.createDataFrame([("b", 2), ("a", 1)], "token string, documents long"), str(tmp_path / "c"))
+    assert {tuple(r) for r in spark.read.schema("token string, documents long").json(str(tmp_path / "c")).collect()} == {("a", 1), ("b", 2)}
+
+
 def test_manuscripts(spark):
     body = "First line\n\n# not a header\nlast"
     df = spark.createDataFrame([("m", {"Title": "T: x", "DOI": "10.1/x"}, body)], "doc_id string, header map<string,string>, body string")
