@@ -42,6 +42,21 @@ def _replacement(kind: str, old: Column) -> Column:
     return F.lit({P_ABOVE_ONE: FALSE_P, FALSE_CITATION: CITATION, PERCENT_ABOVE: FALSE_PERCENT}[kind])
 
 
+def _edit(state: Column, site: Column) -> Column:
+    """The line so far and the errors in it, with the error of one more site, if that still stands in the line."""
+    now, old = state["now"], site["original"]
+    is_ = lambda kind: site["kind"] == kind
+    new = F.coalesce(*[F.when(is_(k), _replacement(k, old)) for k in KINDS])
+    at = F.when(is_(FALSE_CITATION), F.length(F.rtrim(now)) + 1).otherwise(F.instr(now, old))
+    behind = F.when(is_(FALSE_CITATION), "").otherwise(F.substring(now, at + F.length(old), F.length(now)))
+    # a direction with the two words behind it, as the word alone stands in many texts
+    phrase = F.trim(F.concat_ws(" ", new, F.array_join(F.slice(F.regexp_extract_all(behind, F.lit(r"(\S+)"), 1), 1, 2), " ")))
+    token = F.when(is_(FLIP), phrase).when(is_(FALSE_CITATION), FALSE_AUTHOR).otherwise(new)
+    error = F.struct(site["kind"].alias("kind"), F.trim(old).alias("original"), F.trim(new).alias("replacement"), token.alias("token"))
+    done = F.struct(F.concat(F.substring(now, F.lit(1), at - 1), new, behind).alias("now"), F.array_append(state["errors"], error).alias("errors"))
+    return F.when(at > 0, done).otherwise(state)
+
+
 def plant(texts: DataFrame, *, per_kind: int = 1, window_words: int | None = None, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """(planted texts (doc_id, text, skipped_kinds), errors (doc_id, error_id, kind, original, replacement, token, line_no)).
 
@@ -58,24 +73,11 @@ def plant(texts: DataFrame, *, per_kind: int = 1, window_words: int | None = Non
     sites = within.select("doc_id", "i", each.alias("s")).select("doc_id", "i", "s.*").filter("original <> ''")
     drawn = F.row_number().over(Window.partitionBy("doc_id", "kind").orderBy(F.xxhash64(F.lit(seed), "doc_id", "kind", "i"), "i"))
     taken = sites.withColumn("nr", drawn).filter(F.col("nr") <= per_kind)
-    taken = taken.groupBy("doc_id", "i").agg(*[F.max(F.when(F.col("kind") == k, F.col("original"))).alias(k) for k in KINDS])
-    edited = rows.join(taken, ["doc_id", "i"], "left").withColumns({"now": F.col("line"), "errors": F.array().cast("array<struct<kind:string,original:string,replacement:string,token:string>>")})
-    for kind in KINDS:
-        old, now = F.col(kind), F.col("now")
-        new = _replacement(kind, old)
-        at = F.when(old.isNotNull(), F.length(F.rtrim(now)) + 1 if kind == FALSE_CITATION else F.instr(now, old))
-        size = F.lit(0) if kind == FALSE_CITATION else F.length(old)
-        behind = F.substring(now, at + size, F.length(now))
-        token = new
-        if kind == FLIP:  # with the two words behind it, as the word alone stands in many texts
-            token = F.trim(F.concat_ws(" ", new, F.array_join(F.slice(F.regexp_extract_all(behind, F.lit(r"(\S+)"), 1), 1, 2), " ")))
-        elif kind == FALSE_CITATION:
-            token, behind = F.lit(FALSE_AUTHOR), F.lit("")
-        error = F.struct(F.lit(kind).alias("kind"), F.trim(old).alias("original"), F.trim(new).alias("replacement"), token.alias("token"))
-        fits = F.coalesce(at > 0, F.lit(False))
-        edited = edited.withColumns({"now": F.when(fits, F.concat(F.substring(now, F.lit(1), at - 1), new, behind)).otherwise(now), "errors": F.when(fits, F.array_append("errors", error)).otherwise(F.col("errors"))})
-    every = edited.select("doc_id", "i", F.explode("errors").alias("e")).select("doc_id", "i", "e.*")
     place = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
+    taken = taken.groupBy("doc_id", "i").agg(F.array_sort(F.collect_list(F.struct(place.alias("place"), "kind", "original"))).alias("sites"))
+    start = F.struct(F.col("line").alias("now"), F.array().cast("array<struct<kind:string,original:string,replacement:string,token:string>>").alias("errors"))
+    edited = rows.join(taken, ["doc_id", "i"], "left").select("doc_id", "i", F.coalesce(F.aggregate("sites", start, _edit), start).alias("e")).select("doc_id", "i", "e.*")
+    every = edited.select("doc_id", "i", F.explode("errors").alias("e")).select("doc_id", "i", "e.*")
     number = F.row_number().over(Window.partitionBy("doc_id").orderBy(place, "i")) - 1
     errors = every.select("doc_id", F.concat_ws("-", "kind", number.cast("string")).alias("error_id"), "kind", "original", "replacement", "token", (F.col("i") + 1).alias("line_no"))
     body = edited.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("i", F.col("now").alias("l")))).alias("ls"), F.array_distinct(F.flatten(F.collect_list("errors.kind"))).alias("planted"))

@@ -5,16 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import asserts, names_token, own_prose, squeeze
+from ..functions.text import asserting, names_token, own_prose, squeeze
 from .match import holding
 
 SUPPORTS, REFUTES, OPEN = "SUPPORTS", "REFUTES", "NOT_ENOUGH_INFO"
 
 
 def latest(records: DataFrame, key: str, order: str) -> DataFrame:
-    """One row per key: the latest by `order`; rows without a key are dropped."""
+    """One row per key: the latest by `order`, a null before all others, of equal ones that with the greatest hash; rows without a key are dropped."""
     every = F.struct(*[F.col(c) for c in records.columns])
-    return records.filter(F.col(key).isNotNull()).groupBy(key).agg(F.max_by(every, F.col(order)).alias("r")).select("r.*")
+    last = F.struct(F.col(order), F.xxhash64(*[F.col(c) for c in records.columns]))
+    return records.filter(F.col(key).isNotNull()).groupBy(key).agg(F.max_by(every, last).alias("r")).select("r.*")
 
 
 def clamp_score(score: Column) -> Column:
@@ -108,11 +109,14 @@ def planted_scores(errors: DataFrame, findings: DataFrame) -> DataFrame:
     every arm of a source and every error of it.
 
     errors: (source, error_id, token, manuscript); findings: (source, arm, text). Sentences copied from the
-    manuscript are taken out first. Errors are few; each finding meets those of its own source.
+    manuscript are taken out first, once for each finding. Errors are few; each finding meets those of its own source.
     """
-    prose = findings.join(errors, "source").withColumn("prose", own_prose(F.col("text"), F.col("manuscript")))
+    errors = errors.withColumn("m", F.xxhash64("manuscript"))
+    own = findings.join(errors.select("source", "m", "manuscript").dropDuplicates(["source", "m"]), "source").select("arm", "source", "m", own_prose(F.col("text"), F.col("manuscript")).alias("prose"))
+    told = own.withColumn("told", asserting(F.col("prose"))).join(errors.select("source", "m", "error_id", "token"), ["source", "m"])
     hit = lambda c: F.coalesce(F.max(c), F.lit(False))
-    return prose.groupBy("arm", "source", "error_id").agg(hit(names_token(F.col("prose"), F.col("token"))).alias("named"), hit(asserts(F.col("prose"), F.col("token"))).alias("detected"))
+    detected = F.exists("told", lambda s: names_token(s, F.col("token")))
+    return told.groupBy("arm", "source", "error_id").agg(hit(names_token(F.col("prose"), F.col("token"))).alias("named"), hit(detected).alias("detected"))
 
 
 def arm_results(scores: DataFrame, spent: DataFrame, reference_arm: str) -> DataFrame:

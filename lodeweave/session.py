@@ -49,11 +49,17 @@ def work_dir(spark: SparkSession) -> str:
 _written: list[str] = []
 
 
+def stage_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; `stages` deletes what is written there."""
+    path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
 def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write df once to the shared folder and read it back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
-    path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}.parquet"
-    _written.append(path)
+    path = stage_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -98,3 +98,10 @@ def test_planted_scores_and_collisions(spark):
     t = spark.createDataFrame([("Met4",), ("nope",)], "token string")
     d = spark.createDataFrame([("d1", "the MET4 gene"), ("d1", "met4"), ("d2", "x met4y")], "doc_id string, text string")
     assert {r.token: r.documents for r in records.token_collisions(t, d).collect()} == {"Met4": 2, "nope": 0}
+
+
+def test_latest_without_times(spark):
+    rows = spark.createDataFrame([(1, None, "a"), (2, None, "b"), (2, 5, "c"), (2, 4, "d"), (None, 9, "e"), (3, 1, "x"), (3, 1, "y")], "k long, t long, v string")
+    got = {r.k: r.v for r in records.latest(rows, "k", "t").collect()}
+    assert got.keys() == {1, 2, 3} and (got[1], got[2]) == ("a", "c")
+    assert got[3] == {r.k: r.v for r in records.latest(rows.repartition(3), "k", "t").collect()}[3]
