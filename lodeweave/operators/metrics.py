@@ -28,8 +28,10 @@ def case_metrics(ranking: DataFrame, relevant: DataFrame, cases: DataFrame, k: i
 
 def ladder(cases: DataFrame, by: str = "ranker", least: int = LEAST_RELEVANT) -> DataFrame:
     """One row per ranker: counts, and macro averages over all its cases, null where fewer than `least` relevant documents stand
-    behind them. The share of the ceiling is averaged over the cases that have one."""
+    behind them. The share of the ceiling is averaged over the cases that have one. Averages are taken in decimals, so that a mean
+    halfway between two last digits is rounded up whatever the order of the cases."""
     enough = F.sum("relevant") >= least
-    rate = lambda c, name: F.round(F.when(enough, F.coalesce(F.avg(c), F.lit(0.0))), 6).alias(name)
+    exact = lambda c: F.round(F.avg(c.cast("decimal(20,12)")), 6).cast("double")
+    rate = lambda c, name: F.when(enough, F.coalesce(exact(c), F.lit(0.0))).alias(name)
     share = F.when(F.col("ceiling") > 0, F.col("recall") / F.col("ceiling"))
     return cases.groupBy(by).agg(F.count(F.lit(1)).alias("cases"), F.sum("relevant").alias("relevant"), F.sum("found").alias("found"), F.sum("found_3k").alias("found_3k"), rate(F.col("recall"), "recall"), rate(F.col("ceiling"), "ceiling"), rate(F.col("ndcg"), "ndcg"), rate(share, "share_of_ceiling"))

@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -215,3 +216,10 @@ def test_metrics(spark):
     assert metrics.ladder(case(10).union(case(9))).first().recall is None
     r = metrics.ladder(case(10).union(case(10)).union(spark.createDataFrame([("r", 0, 0, 0, 0.0, 0.0, 0.0)], case(1).schema))).first()
     assert (r.cases, r.recall, r.ceiling, r.share_of_ceiling) == (3, round(1 / 3, 6), round(2 / 3, 6), 0.5)  # all cases count, shares need a ceiling
+
+
+def test_ladder_rounds_halfway_means_alike_in_every_order(spark):
+    ceilings = [0.0, 0.123457, 0.135135, 0.135135, 0.136986, 0.140845, 0.142857, 0.144928, 0.163934, 0.185185, 0.185185, 0.188679, 0.192308, 0.192308, 0.2, 0.2, 0.208333, 0.263158, 0.322581, 0.344828, 0.344828, 0.357143, 0.416667, 0.555556]
+    rows = [(str(seed), 2, 1, 1, 0.0, c, 0.0) for seed in range(20) for c in random.Random(seed).sample(ceilings, len(ceilings))]
+    cases = spark.createDataFrame(rows, "ranker string, relevant long, found long, found_3k long, recall double, ceiling double, ndcg double").coalesce(1)
+    assert {r.ceiling for r in metrics.ladder(cases).collect()} == {0.220002}  # the mean is 0.2200015
